@@ -67,15 +67,20 @@ def _order_columns() -> list:
 
 
 def matching_papers(requests: DataFrame, bags: DataFrame, papers: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """All papers a text query matches: request columns, paper_id, relevance, dates."""
+    """All papers a text query matches: request columns, paper_id, relevance, dates.
+
+    ``bags`` is read three times; pass a stored table where building it is not free.
+    """
     asked = _normalised(requests).where(F.size("terms") > 0)
     terms = bags.select("paper_id", F.inline("bag"))
-    sizes = papers.agg(F.count(F.lit(1)).alias("n"))
-    frequencies = durable(
-        inverse_frequencies(terms, sizes, []).select("term", "df", F.pow("idf", F.lit(2.0)).alias("w2"))
+    documents = papers.count()
+    frequencies = inverse_frequencies(terms, documents, []).select(
+        "term", "df", F.pow("idf", F.lit(2.0)).alias("w2")
     )
+    if documents > hot_rows:
+        frequencies = durable(frequencies)
     norms = (
-        salted_lookup(terms, frequencies, ["term"], "df", ["paper_id"], hot_rows=hot_rows)
+        salted_lookup(terms, frequencies, ["term"], "df", ["paper_id"], most=documents, hot_rows=hot_rows)
         .groupBy("paper_id")
         .agg(F.sum(F.col("tf") * F.col("tf") * F.col("w2")).alias("norm2"))
     )
@@ -96,7 +101,10 @@ def matching_papers(requests: DataFrame, bags: DataFrame, papers: DataFrame, hot
         F.sum(F.col("query_tf") * F.col("query_tf") * F.col("w2")).alias("query_norm2")
     )
     hits = (
-        salted_lookup(terms, wanted.join(query_norms, "request"), ["term"], "df", ["paper_id"], hot_rows=hot_rows)
+        salted_lookup(
+            terms, wanted.join(query_norms, "request"), ["term"], "df", ["paper_id"],
+            most=documents, hot_rows=hot_rows,
+        )
         .groupBy("request", "n_terms", "query_norm2", "paper_id")
         .agg(
             F.count(F.lit(1)).alias("n_shared"),

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from paperlake.constants import RELATED_TOP_K, SCORE_DECIMALS, TENANT
 from paperlake.functions.text import paper_text, tokens
-from paperlake.operators.skew import BROADCAST_KEYS, HOT_ROWS, hot_groups, salted_lookup
+from paperlake.operators.skew import BROADCAST_KEYS, HOT_ROWS, hot_groups, salted_lookup, spread_partitions
 from paperlake.runtime import durable
 
 COLOCATE_ROWS = 20_000
@@ -41,7 +41,8 @@ def term_bags(papers: DataFrame, keys: list[str]) -> DataFrame:
 
     ``keys`` must identify a document; its text moves once and both counts stay local.
     """
-    placed = papers.select(*keys, "title", "summary", "categories").repartition(*keys)
+    partitions = spread_partitions(papers, 0, COLOCATE_ROWS)
+    placed = papers.select(*keys, "title", "summary", "categories").repartition(partitions, *keys)
     return term_counts(placed, keys).groupBy(*keys).agg(F.collect_list(F.struct("term", "tf")).alias("bag"))
 
 
@@ -56,57 +57,100 @@ def idf(n: Column, df: Column) -> Column:
     return F.log((n.cast("double") + one) / (df.cast("double") + one)) + one
 
 
-def inverse_frequencies(counts: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, term, df, n, idf``; ``sizes`` has one row per group with its size ``n``."""
+def inverse_frequencies(counts: DataFrame, sizes: DataFrame | int, keys: list[str]) -> DataFrame:
+    """``keys, term, df, n, idf``; ``sizes``: one row per group with its size ``n``, or one number."""
     df = document_frequencies(counts, keys)
-    if keys:
-        sized = df.join(sizes, keys)
+    if isinstance(sizes, int):
+        sized = df.withColumn("n", F.lit(sizes).cast("long"))
     else:
-        sized = df.withColumn("n", sizes.select("n").scalar())
+        sized = df.join(sizes, keys)
     return sized.withColumn("idf", idf(F.col("n"), F.col("df")))
 
 
-def tfidf_vectors(
-    counts: DataFrame, frequencies: DataFrame, keys: list[str], document: str = "paper_id"
-) -> DataFrame:
-    """Long-form vectors ``keys, document, term, tf, weight`` with length-normalised tf."""
-    lengths = counts.groupBy(*keys, document).agg(F.sum("tf").alias("_length"))
-    weighted = salted_lookup(counts, frequencies, [*keys, "term"], "df", [document])
-    return weighted.join(lengths, [*keys, document]).select(
-        *keys,
-        document,
-        "term",
-        "tf",
-        (F.col("tf") / F.col("_length") * F.col("idf")).alias("weight"),
+def tfidf_vectors(counts: DataFrame, documents: int, document: str = "paper_id") -> DataFrame:
+    """Long-form vectors ``document, term, tf, weight`` of one corpus, tf normalised by length.
+
+    No term occurs in more than all ``documents``, which bounds what a term can own.
+    """
+    frequencies = inverse_frequencies(counts, documents, []).select("term", "df", "idf")
+    lengths = counts.groupBy(document).agg(F.sum("tf").alias("_length"))
+    weighted = salted_lookup(counts, frequencies, ["term"], "df", [document], most=documents)
+    return weighted.join(lengths, document).select(
+        document, "term", "tf", (F.col("tf") / F.col("_length") * F.col("idf")).alias("weight")
+    )
+
+
+def _pair_sums(weighted: DataFrame, keys: list[str]) -> DataFrame:
+    """Cosine per pair from rows of pair, side, term, w."""
+    pair = [*keys, "paper_a", "paper_b"]
+    w_a = F.sum(F.when(F.col("side") == "a", F.col("w")))
+    w_b = F.sum(F.when(F.col("side") == "b", F.col("w")))
+    return (
+        weighted.groupBy(*pair, "term")
+        .agg(w_a.alias("w_a"), w_b.alias("w_b"))
+        .groupBy(*pair)
+        .agg(
+            F.sum(F.col("w_a") * F.col("w_b")).alias("dot"),
+            F.sqrt(F.sum(F.col("w_a") * F.col("w_a"))).alias("norm_a"),
+            F.sqrt(F.sum(F.col("w_b") * F.col("w_b"))).alias("norm_b"),
+        )
+        .select(*pair, (F.col("dot") / (F.col("norm_a") * F.col("norm_b"))).alias("score"))
     )
 
 
 def cosine_pairs(
-    pairs: DataFrame, counts: DataFrame, frequencies: DataFrame, keys: list[str]
+    pairs: DataFrame,
+    library: DataFrame,
+    bags: DataFrame,
+    colocate_rows: int = COLOCATE_ROWS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Score given pairs ``keys, paper_a, paper_b``; no shared term means 0.
+    """Score given pairs user_id, guild_id, paper_a, paper_b; no shared term means 0.
 
-    The document length cancels in the cosine, so tf times idf is enough, and norms
-    are taken once per paper. Work grows with the pairs asked for.
+    Each pair brings its two bags along, so the work grows with the pairs asked for. The
+    document length cancels in the cosine, so tf times idf is enough.
     """
-    weighted = salted_lookup(counts, frequencies, [*keys, "term"], "df", ["paper_id"]).select(
-        *keys, "paper_id", "term", (F.col("tf") * F.col("idf")).alias("w")
-    )
-    norms = weighted.groupBy(*keys, "paper_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    side_a = weighted.select(*keys, F.col("paper_id").alias("paper_a"), "term", F.col("w").alias("w_a"))
-    side_b = weighted.select(*keys, F.col("paper_id").alias("paper_b"), "term", F.col("w").alias("w_b"))
-    wanted = pairs.select(*keys, "paper_a", "paper_b")
-    dots = (
-        wanted.join(side_a, [*keys, "paper_a"])
-        .join(side_b, [*keys, "paper_b", "term"])
-        .groupBy(*keys, "paper_a", "paper_b")
-        .agg(F.sum(F.col("w_a") * F.col("w_b")).alias("dot"))
-        .join(norms.withColumnsRenamed({"paper_id": "paper_a", "norm": "norm_a"}), [*keys, "paper_a"])
-        .join(norms.withColumnsRenamed({"paper_id": "paper_b", "norm": "norm_b"}), [*keys, "paper_b"])
-    )
-    scored = dots.select(
-        *keys, "paper_a", "paper_b", (F.col("dot") / (F.col("norm_a") * F.col("norm_b"))).alias("score")
+    keys, wanted = TENANT, pairs.select(*TENANT, "paper_a", "paper_b").distinct()
+    members = library.select(*keys, "paper_id").join(wanted.select(*keys).distinct(), keys, "left_semi")
+    none = F.lit(None).cast("string")
+    rows = members.select(*keys, "paper_id", none.alias("paper_a"), none.alias("paper_b"), none.alias("side"))
+    for side in ("a", "b"):
+        rows = rows.unionByName(
+            wanted.select(
+                *keys, F.col(f"paper_{side}").alias("paper_id"), "paper_a", "paper_b", F.lit(side).alias("side")
+            )
+        )
+    is_member = F.col("side").isNull()
+    hot = hot_groups(rows, keys, colocate_rows)
+    hot_keys = hot.groups.select(*keys)
+    if hot.count <= BROADCAST_KEYS:
+        hot_keys = F.broadcast(hot_keys)
+    small = rows if hot.count == 0 else rows.join(hot_keys, keys, "left_anti")
+
+    # small groups: one shuffle of bags by group, counts as windows over it
+    placed = (
+        small.join(bags, "paper_id", "left")
+        .repartition(spread_partitions(rows, hot.all_rows, COLOCATE_ROWS), *keys)
+        .withColumn("n", F.count_if(is_member).over(Window.partitionBy(*keys)))
     )
+    df = F.count_if(is_member).over(Window.partitionBy(*keys, "term"))
+    terms = placed.select(*keys, "paper_a", "paper_b", "side", "n", F.inline("bag"))
+    weighted = terms.withColumn("w", F.col("tf") * idf(F.col("n"), df)).where(F.col("side").isNotNull())
+    scored = _pair_sums(weighted, keys)
+
+    if hot.count > 0:
+        large = rows.join(hot_keys, keys, "left_semi").join(bags, "paper_id", "left")
+        sizes = large.where(is_member).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        terms = large.select(*keys, "paper_id", "paper_a", "paper_b", "side", F.inline("bag"))
+        used = terms.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("rows"))
+        frequencies = durable(
+            inverse_frequencies(terms.where(is_member), sizes, keys).join(used, [*keys, "term"])
+        )
+        weighted = salted_lookup(
+            terms.where(F.col("side").isNotNull()), frequencies, [*keys, "term"], "rows",
+            ["paper_a", "paper_b"], hot_rows=hot_rows,
+        ).withColumn("w", F.col("tf") * F.col("idf"))
+        scored = scored.unionByName(_pair_sums(weighted, keys))
     return wanted.join(scored, [*keys, "paper_a", "paper_b"], "left").withColumn(
         "score", F.coalesce(F.col("score"), F.lit(0.0))
     )
@@ -124,10 +168,12 @@ def _top(scored: DataFrame, keys: list[str], top_k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
 
 
-def _related_colocated(members: DataFrame, keys: list[str], top_k: int) -> DataFrame:
+def _related_colocated(members: DataFrame, keys: list[str], top_k: int, partitions: int) -> DataFrame:
     """Small groups. ``members``: keys, paper_id, is_target, bag (NULL without terms)."""
-    placed = members.repartition(*keys).withColumn(
-        "n", F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    placed = (
+        members.repartition(partitions, *keys)
+        .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+        .where("n > 1")  # a single paper has no candidates
     )
     terms = placed.select(*keys, "paper_id", "is_target", "n", F.inline("bag"))
     same_term = Window.partitionBy(*keys, "term")
@@ -210,19 +256,20 @@ def _related(
     hot_rows: int,
 ) -> DataFrame:
     """``members``: keys, paper_id, is_target and the columns ``bag_keys`` name."""
-    big, groups, _ = hot_groups(members, keys, colocate_rows)
+    hot = hot_groups(members, keys, colocate_rows)
+    partitions = spread_partitions(members, hot.all_rows, COLOCATE_ROWS)
 
     def with_bags(rows: DataFrame) -> DataFrame:
         return rows.join(bags, bag_keys, "left")
 
-    if groups == 0:
-        return _related_colocated(with_bags(members), keys, top_k)
-    sizes = big.select(*keys, F.col("group_rows").alias("n"))
-    if groups <= BROADCAST_KEYS:
+    if hot.count == 0:
+        return _related_colocated(with_bags(members), keys, top_k, partitions)
+    sizes = hot.groups.select(*keys, F.col("group_rows").alias("n"))
+    if hot.count <= BROADCAST_KEYS:
         sizes = F.broadcast(sizes)
     small = members.join(sizes.select(*keys), keys, "left_anti")
     large = members.join(sizes.select(*keys), keys, "left_semi")
-    return _related_colocated(with_bags(small), keys, top_k).unionByName(
+    return _related_colocated(with_bags(small), keys, top_k, partitions).unionByName(
         _related_by_term(with_bags(large), sizes, keys, top_k, hot_rows)
     )
 

@@ -16,6 +16,7 @@ entries and joined by shuffle beyond that.
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,13 +34,17 @@ def salted_lookup(
     rows: str,
     spread: list[str],
     how: str = "inner",
+    most: int | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join ``big`` to ``small`` on ``keys``; ``small[rows]`` tells how many ``big`` rows a key owns.
 
     Keys with more than ``hot_rows`` rows are spread over several salts by a hash of
-    ``spread``. ``small`` is repeated once per salt, cold keys are not repeated.
+    ``spread``. ``small`` is repeated once per salt, cold keys are not repeated. A caller
+    that knows the ``most`` rows any key can own spares the look for hot keys.
     """
+    if most is not None and most <= hot_rows:
+        return big.join(small, keys, how)
     salts = F.ceil(F.col(rows) / F.lit(hot_rows)).cast("int")
     hot = small.where(F.col(rows) > hot_rows).select(*keys, salts.alias("_salts")).distinct()
     # A key is in `hot` only with more than hot_rows rows, so a limit one past the
@@ -60,11 +65,33 @@ def salted_lookup(
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
-def hot_groups(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, int, int]:
-    """Groups above ``hot_rows`` rows, how many there are, and their rows in total."""
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_rows")).where(F.col("group_rows") > hot_rows)
-    found = hot.agg(F.count(F.lit(1)).alias("groups"), F.sum("group_rows").alias("rows")).first()
-    return hot, found["groups"], found["rows"] or 0
+class HotGroups(NamedTuple):
+    groups: DataFrame  # keys, group_rows
+    count: int
+    rows: int  # rows of the hot groups
+    all_rows: int
+
+
+def hot_groups(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> HotGroups:
+    """Groups above ``hot_rows`` rows, with their number and sizes."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_rows"))
+    is_hot = F.col("group_rows") > hot_rows
+    found = sizes.agg(
+        F.count_if(is_hot).alias("count"),
+        F.sum(F.when(is_hot, F.col("group_rows"))).alias("rows"),
+        F.sum("group_rows").alias("all_rows"),
+    ).first()
+    return HotGroups(sizes.where(is_hot), found["count"], found["rows"] or 0, found["all_rows"] or 0)
+
+
+def spread_partitions(df: DataFrame, rows: int, rows_per_task: int) -> int:
+    """Partitions for rows that fan out once placed.
+
+    The number is explicit because adaptive coalescing sees only the compact rows and
+    would put far too much of what they expand to into one task.
+    """
+    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(configured, math.ceil(rows / rows_per_task))
 
 
 def ordered_chunks(
@@ -76,13 +103,13 @@ def ordered_chunks(
     ``hot_rows`` rows however a group is shaped. Range bounds come from a sample and
     may differ between two evaluations, so the cut is written out once.
     """
-    hot, groups, rows = hot_groups(df, keys, hot_rows)
-    if groups == 0:
+    hot = hot_groups(df, keys, hot_rows)
+    if hot.count == 0:
         return df.withColumn("chunk", F.lit(0)), False
-    hot_keys = hot.select(*keys)
-    if groups <= BROADCAST_KEYS:
+    hot_keys = hot.groups.select(*keys)
+    if hot.count <= BROADCAST_KEYS:
         hot_keys = F.broadcast(hot_keys)
-    pieces = max(2, math.ceil(rows / hot_rows))
+    pieces = max(2, math.ceil(hot.rows / hot_rows))
     cut = (
         df.join(hot_keys, keys, "left_semi")
         .repartitionByRange(pieces, *keys, *order)

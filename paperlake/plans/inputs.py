@@ -2,10 +2,14 @@
 
 Every table is derived from whole source tables; ``%`` only spreads keys, it never
 drops rows. Documents become papers with their whole text as the summary.
+
+The library tables are what a user has in store, so they are written once per
+application to the shared folder and read from there by every query.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +19,7 @@ from paperlake.constants import COLLECTION_KEY, PAPER_KEY, TENANT
 from paperlake.operators.library import normalise_papers
 from paperlake.operators.mutations import add_to_collection, first_rows, new_memberships
 from paperlake.operators.similarity import term_bags
+from paperlake.runtime import run_folder
 
 PAPER_COLUMNS = [
     "paper_id", "title", "authors", "summary", "published", "updated", "categories",
@@ -34,13 +39,34 @@ def paper_id_of(doc_id: Column) -> Column:
     return F.concat(F.lit("24"), _padded(1 + doc_id % 12, 2), F.lit("."), _padded(doc_id, 5))
 
 
+# (application, data folder, table) -> folder of the written table
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
 class Inputs:
-    """Lazily derived tables of one data folder."""
+    """Derived tables of one data folder."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = spark
         self.folder = folder.rstrip("/")
 
+    def _stored(self, name: str, build: Callable[[], DataFrame], *cluster: str) -> DataFrame:
+        """Table written on first use, clustered by the columns it is filtered by."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _STORED:
+            path = run_folder(self.spark, name)
+            rows = build()
+            if cluster:
+                rows = rows.repartitionByRange(*cluster).sortWithinPartitions(*cluster)
+            rows.write.parquet(path)
+            _STORED[key] = path
+        return self.spark.read.parquet(_STORED[key])
+
+    def prepare(self) -> None:
+        """Write the stored tables."""
+        for table in (self.papers_raw, self.saved, self.collections, self.memberships):
+            assert table.columns
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
@@ -57,6 +83,9 @@ class Inputs:
     @cached_property
     def papers_raw(self) -> DataFrame:
         """Papers in the stored layout: even ids hold comma lists, odd ids JSON lists."""
+        return self._stored("papers", self._build_papers)
+
+    def _build_papers(self) -> DataFrame:
         part = self.table("part").select("p_partkey", "p_name")
         n_parts = part.agg(F.count(F.lit(1))).scalar()
         doc = F.col("doc_id")
@@ -124,6 +153,9 @@ class Inputs:
     @cached_property
     def saved(self) -> DataFrame:
         """saved_papers: the first attempt of each key."""
+        return self._stored("saved_papers", self._build_saved, *PAPER_KEY)
+
+    def _build_saved(self) -> DataFrame:
         first = first_rows(
             self.save_attempts.select(*TENANT, "doc_id", "saved_at", "seq", "status", "note"),
             [*TENANT, "doc_id"],
@@ -137,6 +169,9 @@ class Inputs:
     @cached_property
     def collections(self) -> DataFrame:
         """Collections; '5-LOW' has none so that requests for it fail."""
+        return self._stored("collections", self._build_collections, *COLLECTION_KEY)
+
+    def _build_collections(self) -> DataFrame:
         return (
             self.save_attempts.where(F.col("coll") != "5-LOW")
             .groupBy(*TENANT, F.col("coll").alias("name"))
@@ -196,7 +231,7 @@ class Inputs:
     @cached_property
     def memberships(self) -> DataFrame:
         """collection_papers: the requests that were added."""
-        return new_memberships(self.add_outcomes)
+        return self._stored("collection_papers", lambda: new_memberships(self.add_outcomes), *PAPER_KEY)
 
     # --- request batches --------------------------------------------------------
 

@@ -25,7 +25,7 @@ from paperlake.operators import (
     similarity,
 )
 from paperlake.plans.inputs import Inputs, to_commands
-from paperlake.runtime import run_folder
+from paperlake.runtime import durable, run_folder
 from paperlake.sources import atom, schemas
 from paperlake.streaming import atom as atom_stream
 from paperlake.streaming import replay as replay_stream
@@ -406,30 +406,30 @@ def paper_details(i: Inputs) -> DataFrame:
 @_query
 def corpus_search(i: Inputs) -> DataFrame:
     """Every match, unranked."""
-    found = search.matching_papers(i.search_requests, i.bags, i.papers)
+    found = search.matching_papers(i.search_requests, durable(i.bags), i.papers)
     return found.select("request_id", "paper_id")
 
 
 @_query
 def corpus_search_sorted(i: Inputs) -> DataFrame:
-    found = search.search(i.search_requests, i.papers, i.bags)
+    found = search.search(i.search_requests, i.papers, durable(i.bags))
     return _flat(found.select("request_id", "sort_by", "sort_order", "rank", "paper_id", "relevance"))
 
 
 @_query
 def top_hit(i: Inputs) -> DataFrame:
-    return search.top_hits(i.search_requests, i.papers, i.bags).select("request_id", "paper_id")
+    return search.top_hits(i.search_requests, i.papers, durable(i.bags)).select("request_id", "paper_id")
 
 
 @_query
 def budgeted_results(i: Inputs) -> DataFrame:
-    found = search.search(i.search_requests.withColumn("max_results", F.lit(25)), i.papers, i.bags)
+    found = search.search(i.search_requests.withColumn("max_results", F.lit(25)), i.papers, durable(i.bags))
     return _flat(search.budgeted_listing(found, i.papers))
 
 
 @_query
 def select_options(i: Inputs) -> DataFrame:
-    found = search.search(i.search_requests, i.papers, i.bags)
+    found = search.search(i.search_requests, i.papers, durable(i.bags))
     return _flat(search.select_options(found, i.papers))
 
 
@@ -440,10 +440,6 @@ def _counts(i: Inputs) -> DataFrame:
     return similarity.term_counts(i.papers, ["paper_id"])
 
 
-def _corpus_size(i: Inputs) -> DataFrame:
-    return i.papers.agg(F.count(F.lit(1)).alias("n"))
-
-
 @_query
 def term_frequencies(i: Inputs) -> DataFrame:
     return _counts(i)
@@ -456,14 +452,13 @@ def document_frequencies(i: Inputs) -> DataFrame:
 
 @_query
 def idf(i: Inputs) -> DataFrame:
-    found = similarity.inverse_frequencies(_counts(i), _corpus_size(i), [])
+    found = similarity.inverse_frequencies(_counts(i), i.documents.count(), [])
     return found.select("term", "df", "n", F.round("idf", 9).alias("idf"))
 
 
 @_query
 def tfidf_vectors(i: Inputs) -> DataFrame:
-    counts = _counts(i)
-    found = similarity.tfidf_vectors(counts, similarity.inverse_frequencies(counts, _corpus_size(i), []), [])
+    found = similarity.tfidf_vectors(durable(_counts(i)), i.documents.count())
     return found.withColumn("weight", F.round("weight", 9))
 
 
@@ -474,10 +469,7 @@ def pairwise_similarity(i: Inputs) -> DataFrame:
         F.max_by("paper_id", F.struct("saved_at", "id")).alias("paper_a"),
         F.min_by("paper_id", F.struct("saved_at", "id")).alias("paper_b"),
     )
-    counts = i.saved.select(*PAPER_KEY).join(i.bags, "paper_id").select(*PAPER_KEY, F.inline("bag"))
-    sizes = i.saved.groupBy(*TENANT).agg(F.count(F.lit(1)).alias("n"))
-    frequencies = similarity.inverse_frequencies(counts, sizes, TENANT)
-    found = similarity.cosine_pairs(ends, counts, frequencies, TENANT)
+    found = similarity.cosine_pairs(ends, i.saved, i.bags)
     return found.withColumn("score", F.round("score", 4))
 
 
