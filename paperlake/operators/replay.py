@@ -31,17 +31,20 @@ def replay_outcomes(
     state = F.last("mark", ignorenulls=True).over(before)
     rows = chunked.withColumn("_before", state)
     carried = [F.col("_before")]
+    held = None if snapshot is None else snapshot.select(*PAPER_KEY, F.lit(1).alias("_held"))
     if split:
         # last mark of each chunk, carried forward: one row per chunk
         ends = chunked.groupBy(*parts).agg(
             F.max_by("mark", F.when(F.col("mark").isNotNull(), F.struct("ts", "seq"))).alias("_end")
         )
         earlier = Window.partitionBy(*PAPER_KEY).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-        carry = ends.select(*parts, F.last("_end", ignorenulls=True).over(earlier).alias("_carry"))
-        rows = rows.join(carry, parts)
-        carried.append(F.col("_carry"))
-    if snapshot is not None:
-        held = snapshot.select(*PAPER_KEY, F.lit(1).alias("_held"))
+        start = F.last("_end", ignorenulls=True).over(earlier)
+        if held is not None:
+            ends = ends.join(held, PAPER_KEY, "left")
+            start = F.coalesce(start, F.col("_held"))
+        rows = rows.join(ends.select(*parts, start.alias("_start")), parts)
+        carried.append(F.col("_start"))
+    elif held is not None:
         rows = rows.join(held, PAPER_KEY, "left")
         carried.append(F.col("_held"))
     present = F.coalesce(*carried, F.lit(0)) == 1

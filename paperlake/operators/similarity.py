@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from paperlake.constants import RELATED_TOP_K, SCORE_DECIMALS, TENANT
 from paperlake.functions.text import paper_text, tokens
-from paperlake.operators.skew import BROADCAST_KEYS, HOT_ROWS, hot_groups, salted_lookup, spread_partitions
+from paperlake.operators.skew import HOT_ROWS, HotGroups, hot_groups, place, salted_lookup
 from paperlake.runtime import durable
 
 COLOCATE_ROWS = 20_000
@@ -41,8 +41,7 @@ def term_bags(papers: DataFrame, keys: list[str]) -> DataFrame:
 
     ``keys`` must identify a document; its text moves once and both counts stay local.
     """
-    partitions = spread_partitions(papers, 0, COLOCATE_ROWS)
-    placed = papers.select(*keys, "title", "summary", "categories").repartition(partitions, *keys)
+    placed = place(papers.select(*keys, "title", "summary", "categories"), keys, 0, COLOCATE_ROWS)
     return term_counts(placed, keys).groupBy(*keys).agg(F.collect_list(F.struct("term", "tf")).alias("bag"))
 
 
@@ -111,26 +110,31 @@ def cosine_pairs(
     document length cancels in the cosine, so tf times idf is enough.
     """
     keys, wanted = TENANT, pairs.select(*TENANT, "paper_a", "paper_b").distinct()
-    members = library.select(*keys, "paper_id").join(wanted.select(*keys).distinct(), keys, "left_semi")
+    hot = hot_groups(library.select(*keys), keys, colocate_rows)
+    large_keys = F.broadcast(hot.groups.select(*keys))
     none = F.lit(None).cast("string")
-    rows = members.select(*keys, "paper_id", none.alias("paper_a"), none.alias("paper_b"), none.alias("side"))
-    for side in ("a", "b"):
-        rows = rows.unionByName(
-            wanted.select(
-                *keys, F.col(f"paper_{side}").alias("paper_id"), "paper_a", "paper_b", F.lit(side).alias("side")
+
+    def entries(members: DataFrame, asked: DataFrame) -> DataFrame:
+        """Members once each, then both papers of every pair."""
+        rows = members.select(*keys, "paper_id", none.alias("paper_a"), none.alias("paper_b"), none.alias("side"))
+        for side in ("a", "b"):
+            rows = rows.unionByName(
+                asked.select(
+                    *keys, F.col(f"paper_{side}").alias("paper_id"), "paper_a", "paper_b", F.lit(side).alias("side")
+                )
             )
-        )
+        return rows
+
+    small, asked = library, wanted
+    if hot.count > 0:
+        small = library.join(large_keys, keys, "left_anti")
+        asked = wanted.join(large_keys, keys, "left_anti")
+    small = entries(small.join(asked.select(*keys).distinct(), keys, "left_semi"), asked)
     is_member = F.col("side").isNull()
-    hot = hot_groups(rows, keys, colocate_rows)
-    hot_keys = hot.groups.select(*keys)
-    if hot.count <= BROADCAST_KEYS:
-        hot_keys = F.broadcast(hot_keys)
-    small = rows if hot.count == 0 else rows.join(hot_keys, keys, "left_anti")
 
     # small groups: one shuffle of bags by group, counts as windows over it
     placed = (
-        small.join(bags, "paper_id", "left")
-        .repartition(spread_partitions(rows, hot.all_rows, COLOCATE_ROWS), *keys)
+        place(small.join(bags, "paper_id", "left"), keys, hot.all_rows, COLOCATE_ROWS)
         .withColumn("n", F.count_if(is_member).over(Window.partitionBy(*keys)))
     )
     df = F.count_if(is_member).over(Window.partitionBy(*keys, "term"))
@@ -139,12 +143,13 @@ def cosine_pairs(
     scored = _pair_sums(weighted, keys)
 
     if hot.count > 0:
-        large = rows.join(hot_keys, keys, "left_semi").join(bags, "paper_id", "left")
-        sizes = large.where(is_member).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        asked = wanted.join(large_keys, keys, "left_semi")
+        large = entries(library.join(large_keys, keys, "left_semi"), asked).join(bags, "paper_id", "left")
+        sizes = hot.groups.select(*keys, F.col("group_rows").alias("n"))
         terms = large.select(*keys, "paper_id", "paper_a", "paper_b", "side", F.inline("bag"))
         used = terms.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("rows"))
         frequencies = durable(
-            inverse_frequencies(terms.where(is_member), sizes, keys).join(used, [*keys, "term"])
+            inverse_frequencies(terms.where(is_member), F.broadcast(sizes), keys).join(used, [*keys, "term"])
         )
         weighted = salted_lookup(
             terms.where(F.col("side").isNotNull()), frequencies, [*keys, "term"], "rows",
@@ -168,10 +173,10 @@ def _top(scored: DataFrame, keys: list[str], top_k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
 
 
-def _related_colocated(members: DataFrame, keys: list[str], top_k: int, partitions: int) -> DataFrame:
+def _related_colocated(members: DataFrame, keys: list[str], top_k: int, rows: int) -> DataFrame:
     """Small groups. ``members``: keys, paper_id, is_target, bag (NULL without terms)."""
     placed = (
-        members.repartition(partitions, *keys)
+        place(members, keys, rows, COLOCATE_ROWS)
         .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
         .where("n > 1")  # a single paper has no candidates
     )
@@ -247,30 +252,22 @@ def _related_by_term(
 
 
 def _related(
-    members: DataFrame,
+    small: DataFrame,
+    large: DataFrame | None,
+    hot: HotGroups,
     bags: DataFrame,
     keys: list[str],
     bag_keys: list[str],
     top_k: int,
-    colocate_rows: int,
     hot_rows: int,
 ) -> DataFrame:
-    """``members``: keys, paper_id, is_target and the columns ``bag_keys`` name."""
-    hot = hot_groups(members, keys, colocate_rows)
-    partitions = spread_partitions(members, hot.all_rows, COLOCATE_ROWS)
-
-    def with_bags(rows: DataFrame) -> DataFrame:
-        return rows.join(bags, bag_keys, "left")
-
-    if hot.count == 0:
-        return _related_colocated(with_bags(members), keys, top_k, partitions)
-    sizes = hot.groups.select(*keys, F.col("group_rows").alias("n"))
-    if hot.count <= BROADCAST_KEYS:
-        sizes = F.broadcast(sizes)
-    small = members.join(sizes.select(*keys), keys, "left_anti")
-    large = members.join(sizes.select(*keys), keys, "left_semi")
-    return _related_colocated(with_bags(small), keys, top_k, partitions).unionByName(
-        _related_by_term(with_bags(large), sizes, keys, top_k, hot_rows)
+    """``small``, ``large``: keys, paper_id, is_target and the columns ``bag_keys`` name."""
+    found = _related_colocated(small.join(bags, bag_keys, "left"), keys, top_k, hot.all_rows)
+    if large is None:
+        return found
+    sizes = F.broadcast(hot.groups.select(*keys, F.col("group_rows").alias("n")))
+    return found.unionByName(
+        _related_by_term(large.join(bags, bag_keys, "left"), sizes, keys, top_k, hot_rows)
     )
 
 
@@ -290,14 +287,26 @@ def related_papers(
     targets that are not saved give no rows. Ties go to the smaller paper_id.
     """
     bag_keys = bag_keys or ["paper_id"]
+    asked = requests.select(*TENANT).distinct()
     targets = requests.select(*TENANT, "paper_id").distinct().withColumn("is_target", F.lit(True))
-    members = (
-        library.select(*TENANT, "paper_id")
-        .join(requests.select(*TENANT).distinct(), TENANT, "left_semi")
-        .join(targets, [*TENANT, "paper_id"], "left")
-        .withColumn("is_target", F.coalesce(F.col("is_target"), F.lit(False)))
-    )
-    return _related(members, bags, TENANT, bag_keys, top_k, colocate_rows, hot_rows)
+
+    def marked(members: DataFrame) -> DataFrame:
+        return (
+            members.select(*TENANT, "paper_id")
+            .join(targets, [*TENANT, "paper_id"], "left")
+            .withColumn("is_target", F.coalesce(F.col("is_target"), F.lit(False)))
+        )
+
+    # Large libraries are set apart by a broadcast list before anything shuffles by tenant.
+    hot = hot_groups(library.select(*TENANT), TENANT, colocate_rows)
+    if hot.count == 0:
+        small, large = marked(library.join(asked, TENANT, "left_semi")), None
+    else:
+        listed = hot.groups.select(*TENANT)
+        rest = library.join(F.broadcast(listed), TENANT, "left_anti")
+        small = marked(rest.join(asked, TENANT, "left_semi"))
+        large = marked(library.join(F.broadcast(listed.join(asked, TENANT, "left_semi")), TENANT, "left_semi"))
+    return _related(small, large, hot, bags, TENANT, bag_keys, top_k, hot_rows)
 
 
 def related_external(
@@ -321,32 +330,42 @@ def related_external(
         .withColumn("is_target", F.lit(False))
     )
     targets = wanted.withColumns({"paper_id": F.col("request_id"), "is_target": F.lit(True)})
-    found = _related(
-        candidates.unionByName(targets), bags, keys, ["paper_id"], top_k, colocate_rows, hot_rows
-    )
-    return found.drop("request_id")
+    members = candidates.unionByName(targets)
+    hot = hot_groups(members, keys, colocate_rows)
+    small, large = members, None
+    if hot.count > 0:
+        listed = F.broadcast(hot.groups.select(*keys))
+        small, large = members.join(listed, keys, "left_anti"), members.join(listed, keys, "left_semi")
+    return _related(small, large, hot, bags, keys, ["paper_id"], top_k, hot_rows).drop("request_id")
 
 
 def related_states(requests: DataFrame, library: DataFrame, related: DataFrame) -> DataFrame:
     """Outcome per request: not_saved, too_few, none_similar or ok."""
     wanted = requests.select(*TENANT, "paper_id").distinct()
     saved = library.select(*TENANT, "paper_id", F.lit(True).alias("_saved"))
-    sizes = library.groupBy(*TENANT).agg(F.count(F.lit(1)).alias("_n"))
+    # The only paper of a library is the target itself, so the join can use the full key
+    # and a tenant with very many requests stays spread out.
+    alone = (
+        library.groupBy(*TENANT)
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("paper_id").alias("paper_id"))
+        .where("_n = 1")
+    )
     hits = related.groupBy(*TENANT, F.col("target_id").alias("paper_id")).agg(
         F.count(F.lit(1)).alias("found")
     )
+    key = [*TENANT, "paper_id"]
+    found = F.coalesce(F.col("found"), F.lit(0))
     return (
-        wanted.join(saved, [*TENANT, "paper_id"], "left")
-        .join(sizes, TENANT, "left")
-        .join(hits, [*TENANT, "paper_id"], "left")
+        wanted.join(saved, key, "left")
+        .join(alone, key, "left")
+        .join(hits, key, "left")
         .select(
-            *TENANT,
-            "paper_id",
+            *key,
             F.when(F.col("_saved").isNull(), "not_saved")
-            .when(F.col("_n") < 2, "too_few")
-            .when(F.coalesce(F.col("found"), F.lit(0)) == 0, "none_similar")
+            .when(F.col("_n").isNotNull(), "too_few")
+            .when(found == 0, "none_similar")
             .otherwise("ok")
             .alias("state"),
-            F.coalesce(F.col("found"), F.lit(0)).alias("found"),
+            found.alias("found"),
         )
     )

@@ -8,9 +8,10 @@ Three tools, all exact:
   order-dependent work (ranks, running state) never needs a whole group in a task.
 * ``rank_in_group`` numbers rows inside groups of any size on top of it.
 
-A key counts as hot above ``HOT_ROWS`` rows, so the list of hot keys holds at most
-(all rows / HOT_ROWS) entries; it is broadcast only up to ``BROADCAST_KEYS``
-entries and joined by shuffle beyond that.
+A key counts as hot above ``hot_rows`` rows, or above (all rows / BROADCAST_KEYS) where
+that is more. There can be no more than ``BROADCAST_KEYS`` such keys, whatever the data,
+so the list of them is always small enough to broadcast; everything below that line
+is too small a share to unbalance a shuffle.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from paperlake.runtime import durable
 
 HOT_ROWS = 1_000_000
-BROADCAST_KEYS = 100_000
+BROADCAST_KEYS = 500_000
 
 
 def salted_lookup(
@@ -45,26 +46,31 @@ def salted_lookup(
     """
     if most is not None and most <= hot_rows:
         return big.join(small, keys, how)
-    salts = F.ceil(F.col(rows) / F.lit(hot_rows)).cast("int")
-    hot = small.where(F.col(rows) > hot_rows).select(*keys, salts.alias("_salts")).distinct()
-    # A key is in `hot` only with more than hot_rows rows, so a limit one past the
-    # broadcast bound is enough to know which side of it we are on.
-    hot_count = hot.limit(BROADCAST_KEYS + 1).count()
-    if hot_count == 0:
+    owners = small.select(*keys, F.col(rows).alias("_rows")).distinct()
+    found = owners.agg(F.max("_rows").alias("most"), F.sum("_rows").alias("all")).first()
+    if (found["most"] or 0) <= hot_rows:
         return big.join(small, keys, how)
-    if hot_count <= BROADCAST_KEYS:
-        hot = F.broadcast(hot)
+    line = hot_line(found["all"], hot_rows)
+    salts = F.ceil(F.col(rows) / F.lit(line)).cast("int")
+    hot = owners.where(F.col("_rows") > line).select(
+        *keys, F.ceil(F.col("_rows") / F.lit(line)).cast("int").alias("_salts")
+    )
     salt = F.when(
         F.col("_salts").isNotNull(), F.pmod(F.xxhash64(*spread), F.col("_salts").cast("long")).cast("int")
     ).otherwise(F.lit(0))
-    salted = big.join(hot, keys, "left").withColumn("_salt", salt).drop("_salts")
+    salted = big.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_salts")
     repeated = small.withColumn(
         "_salt",
-        F.explode(F.sequence(F.lit(0), F.when(F.col(rows) > hot_rows, salts - 1).otherwise(F.lit(0)))),
+        F.explode(F.sequence(F.lit(0), F.when(F.col(rows) > line, salts - 1).otherwise(F.lit(0)))),
     )
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
+def hot_line(all_rows: int, hot_rows: int) -> int:
+    """Rows above which a key is hot; at most BROADCAST_KEYS keys can be above it."""
+    return max(hot_rows, math.ceil(all_rows / BROADCAST_KEYS))
+
+
 class HotGroups(NamedTuple):
     groups: DataFrame  # keys, group_rows
     count: int
@@ -73,25 +79,27 @@ class HotGroups(NamedTuple):
 
 
 def hot_groups(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> HotGroups:
-    """Groups above ``hot_rows`` rows, with their number and sizes."""
+    """Groups above the hot line, with their number and sizes; the list may be broadcast."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_rows"))
-    is_hot = F.col("group_rows") > hot_rows
-    found = sizes.agg(
-        F.count_if(is_hot).alias("count"),
-        F.sum(F.when(is_hot, F.col("group_rows"))).alias("rows"),
-        F.sum("group_rows").alias("all_rows"),
-    ).first()
-    return HotGroups(sizes.where(is_hot), found["count"], found["rows"] or 0, found["all_rows"] or 0)
-
-
-def spread_partitions(df: DataFrame, rows: int, rows_per_task: int) -> int:
-    """Partitions for rows that fan out once placed.
-
-    The number is explicit because adaptive coalescing sees only the compact rows and
-    would put far too much of what they expand to into one task.
+    found = sizes.agg(F.max("group_rows").alias("most"), F.sum("group_rows").alias("all")).first()
+    line = hot_line(found["all"] or 0, hot_rows)
+    hot = sizes.where(F.col("group_rows") > line)
+    if (found["most"] or 0) <= line:
+        return HotGroups(hot, 0, 0, found["all"] or 0)
+    counted = hot.agg(F.count(F.lit(1)).alias("count"), F.sum("group_rows").alias("rows")).first()
+    return HotGroups(hot, counted["count"], counted["rows"], found["all"])
+
+
+def place(df: DataFrame, keys: list[str], rows: int, rows_per_task: int) -> DataFrame:
+    """Shuffle rows that fan out later to their group.
+
+    The number of partitions is explicit because adaptive coalescing sees only the compact
+    rows and would put far too much of what they expand to into one task. It differs from
+    the session's number, or Spark would merge this shuffle into an earlier one on the same
+    keys, which may be coalesced.
     """
     configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(configured, math.ceil(rows / rows_per_task))
+    return df.repartition(max(2 * configured, math.ceil(rows / rows_per_task)), *keys)
 
 
 def ordered_chunks(
@@ -106,9 +114,7 @@ def ordered_chunks(
     hot = hot_groups(df, keys, hot_rows)
     if hot.count == 0:
         return df.withColumn("chunk", F.lit(0)), False
-    hot_keys = hot.groups.select(*keys)
-    if hot.count <= BROADCAST_KEYS:
-        hot_keys = F.broadcast(hot_keys)
+    hot_keys = F.broadcast(hot.groups.select(*keys))
     pieces = max(2, math.ceil(hot.rows / hot_rows))
     cut = (
         df.join(hot_keys, keys, "left_semi")
