@@ -27,22 +27,24 @@ COLOCATE_ROWS = 20_000
 
 
 def term_counts(papers: DataFrame, keys: list[str]) -> DataFrame:
-    """Term frequency per document: ``keys, term, tf``."""
+    """Term frequency per document: ``keys, term, tf``.
+
+    ``keys`` must identify a document; its text moves once and the counts stay local.
+    """
     text = paper_text(F.col("title"), F.col("summary"), F.col("categories"))
+    placed = place(papers.select(*keys, "title", "summary", "categories"), keys, 0, COLOCATE_ROWS)
     return (
-        papers.select(*keys, F.explode(tokens(text)).alias("term"))
+        placed.select(*keys, F.explode(tokens(text)).alias("term"))
         .groupBy(*keys, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
 
 
 def term_bags(papers: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per document: ``keys, bag``. Documents without terms have no row.
-
-    ``keys`` must identify a document; its text moves once and both counts stay local.
-    """
-    placed = place(papers.select(*keys, "title", "summary", "categories"), keys, 0, COLOCATE_ROWS)
-    return term_counts(placed, keys).groupBy(*keys).agg(F.collect_list(F.struct("term", "tf")).alias("bag"))
+    """One row per document: ``keys, bag``. Documents without terms have no row."""
+    return (
+        term_counts(papers, keys).groupBy(*keys).agg(F.collect_list(F.struct("term", "tf")).alias("bag"))
+    )
 
 
 def document_frequencies(counts: DataFrame, keys: list[str]) -> DataFrame:
