@@ -49,3 +49,44 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     ends = np.cumsum(lengths)
     steps = np.arange(total, dtype=np.int64)
     return steps + np.repeat(np.asarray(starts, np.int64) - (ends - lengths), lengths)
+
+
+def map_texts(
+    docs: DataFrame, fields: str, function: Callable[[list[bytes]], list[pa.Array]], text: str = "text", chunk_bytes: int = 0
+) -> DataFrame:
+    """``row`` (a struct of all columns of ``docs``) and ``found`` (a struct of ``fields``) of every row.
+
+    ``function`` gets the UTF-8 texts of some rows and returns one array per field. It sees
+    at least ``chunk_bytes`` of text at once where a partition has them. Own names of ``docs``
+    never clash with the fields, as either side stays in its struct.
+    """
+    schema = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    at = docs.columns.index(text)
+    names = [part.split()[0] for part in fields.split(", ")]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[pa.Array, list[bytes]]] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            made = [pa.array(a) for a in function([t for _, texts in held for t in texts])]
+            start = 0
+            for row, texts in held:
+                part = pa.StructArray.from_arrays([a.slice(start, len(texts)) for a in made], names)
+                yield pa.RecordBatch.from_arrays([row, part], ["row", "found"])
+                start += len(texts)
+
+        for batch in batches:
+            if batch.num_rows:
+                row = batch.column(0)
+                texts = texts_of(row.field(at))
+                held.append((row, texts))
+                size += sum(map(len, texts))
+                if size >= chunk_bytes:
+                    yield from flush()
+                    held, size = [], 0
+        if held:
+            yield from flush()
+
+    row_type = schema.schema["row"].dataType.simpleString()
+    return schema.mapInArrow(run, f"row {row_type}, found struct<{fields.replace(' ', ':').replace(',:', ',')}>")
