@@ -13,7 +13,7 @@ def suffix_array(first: np.ndarray, depth: int, enough: int | None = None) -> np
     ``enough``: stop once that many symbols are sorted (others stay in any order).
     """
     n = len(first)
-    order = np.argsort(first, kind="stable")
+    order = np.argsort(first)
     keys = first[order]
     head = np.ones(n, bool)
     head[1:] = keys[1:] != keys[:-1]
@@ -30,7 +30,7 @@ def suffix_array(first: np.ndarray, depth: int, enough: int | None = None) -> np
         second = np.zeros(len(at), np.int64)
         second[inside] = rank[after[inside]] + 1
         both = (rank[at] << 32) | second
-        by = np.argsort(both, kind="stable")
+        by = np.argsort(both)
         at, both = at[by], both[by]
         order[slots] = at
         head = np.ones(len(at), bool)
@@ -73,7 +73,8 @@ def previous_common(data: np.ndarray, order: np.ndarray, eight: np.ndarray) -> n
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     runs = np.ones(n, bool)
-    runs[1:] = (before[1:] != before[:-1] + 1) | (before[:-1] < 0)
+    follows = (before[1:] == before[:-1] + 1) & (before[:-1] >= 0)
+    runs[1:] = ~follows | (data[:-1] != data[before[:-1]])
     heads = np.flatnonzero(runs)
     shared = np.zeros(len(heads), np.int64)
     live = np.flatnonzero(before[heads] >= 0)
