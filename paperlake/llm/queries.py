@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlake.llm import bpe, decontaminate, simhash, suffix_dedup
+from paperlake.llm import bpe, decontaminate, digest, simhash, suffix_dedup
 
 
 TOKENIZER = "word_bpe_49k.json"
@@ -61,5 +61,18 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = digest.against_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        F.lower(F.hex("digest")).alias("fingerprint"),
+        F.lower(F.hex("edited_digest")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op3_simhash, op5_bpe, op7_suffix_dedup)}
+    return {f.__name__: f for f in (op2_decontaminate, op3_simhash, op5_bpe, op7_suffix_dedup, op10_digest)}

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperlake.llm.frames import partitions_for, ragged
+from paperlake.llm.hashes import StretchHashes
 from paperlake.llm.suffixes import previous_common, suffix_array, words8
 
 LENGTH = 200
@@ -36,9 +37,6 @@ GRAM = 8
 #: LENGTH - GRAM + 1 positions hold three anchors if no two of them are further apart.
 SPREAD = 64
 MOST_RANGES = 2048
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_SEED = 20
 
 
 class Shard:
@@ -53,18 +51,7 @@ class Shard:
         self.lengths = np.array([len(t) for t in texts], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.data = np.frombuffer(b"".join(texts), np.uint8)
-        n = len(self.data)
-        self.inverse = np.cumprod(np.full(n + 1, _INVERSE, np.uint64))
-        values = np.random.default_rng(_SEED).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values[self.data] * np.cumprod(np.full(n, _BASE, np.uint64)), out=self.sums[1:])
-
-    def hash(self, start: np.ndarray, length) -> np.ndarray:
-        """Hash of ``length`` bytes from each start; equal strings have equal hashes."""
-        value = (self.sums[start + length] - self.sums[start]) * self.inverse[start]
-        value ^= value >> np.uint64(29)
-        value *= np.uint64(0xBF58476D1CE4E5B9)
-        return value ^ (value >> np.uint64(32))
+        self.hash = StretchHashes(self.data).hash
 
     def phrases(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Stretches from an anchor to the second next one: hash, start, stop, text."""
