@@ -4,7 +4,8 @@ A feature is a window of ``WINDOW`` bytes. Its entropy level is rare or common i
 first job counts the levels of all windows of all documents, and a level's rank is its place
 from the rarest on. Among every ``SPREAD`` neighbouring windows of a text the one of lowest rank
 (the first of equals) gets a vote; windows with ``VOTES`` or more are the text's features. They are
-hashed into Bloom filters of 2,048 bits with five bits each; a filter takes ``FILL`` features,
+hashed into Bloom filters of 2,048 bits with five bits each (very short texts have short windows, and
+all of them count); a filter takes ``FILL`` features,
 then the next one in the chain begins. Two digests are alike as far as the filters of the shorter
 chain overlap with their best match in the other, less what chance makes overlap.
 
@@ -29,6 +30,9 @@ WINDOW = 64
 SPREAD = 64
 VOTES = 16
 FILL = 160
+#: Texts of fewer characters are too short to choose from: all their windows of 8 bytes are features.
+SHORT = 256
+SHORT_WINDOW = 8
 FILTER_BITS = 2048
 HASHES = 5
 LEVELS = 1000
@@ -55,6 +59,8 @@ def levels_of(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tupl
     order = np.argsort(-size, kind="stable")
     first, size, target = first[order], size[order], target[order]
     out = np.zeros(int(windows.sum()), np.int16)
+    if not len(out):
+        return out, windows
     step = 4096  # segments side by side
     for a in range(0, len(first), step):
         _levels_of_segments(data, first[a : a + step], size[a : a + step], target[a : a + step], out)
@@ -142,34 +148,30 @@ def _digests(texts: list[bytes], ranks: np.ndarray) -> list[bytes]:
     if not len(own.data):
         return [b""] * len(texts)
     hashes = StretchHashes(own.data)
-    level, windows = levels_of(own.data, own.starts, own.lengths) if own.lengths.max() >= WINDOW else (np.empty(0, np.int64), np.zeros(len(texts), np.int64))
+    sums = np.concatenate(([0], np.cumsum((own.data & 0xC0) != 0x80)))
+    short = sums[own.starts + own.lengths] - sums[own.starts] < SHORT
+    level, windows = levels_of(own.data, own.starts, np.where(short, 0, own.lengths))
     first = np.cumsum(windows) - windows
     n = len(level)
-    rank = (ranks[level] << 32) | np.arange(n)
-    low, width = rank, 1
-    while width < SPREAD and len(low) > width:
-        low = np.minimum(low[: len(low) - width], low[width:])
-        width *= 2
-    long = windows >= SPREAD
-    votes = np.zeros(n, np.int64)
-    if long.any():
-        votes += np.bincount(low[ragged(first[long], windows[long] - SPREAD + 1)] & 0xFFFFFFFF, minlength=n)
-    some = windows > 0
-    if some.any():
-        least = np.minimum.reduceat(rank, first[some]) & 0xFFFFFFFF
-        few = ~long[some]
-        votes[least[few]] = 1
-        need = np.minimum(np.maximum.reduceat(votes, first[some]), VOTES)
-        chosen = np.flatnonzero(votes >= np.repeat(need, windows[some]))
-    else:
-        chosen = np.empty(0, np.int64)
-    of = np.searchsorted(first, chosen, side="right") - 1
-    of = np.flatnonzero(some)[np.searchsorted(first[some], chosen, side="right") - 1] if some.any() else of
-    start = own.starts[of] + chosen - first[of]
-    value = hashes.hash(start, np.full(len(start), WINDOW))
-    small = np.flatnonzero((own.lengths > 0) & (windows == 0))  # the whole text is the one feature
-    of = np.concatenate([of, small])
-    value = np.concatenate([value, hashes.hash(own.starts[small], own.lengths[small])])
+    long = np.flatnonzero(~short)
+    of, start = np.empty(0, np.int64), np.empty(0, np.int64)
+    if len(long):
+        rank = (ranks[level] << 32) | np.arange(n)
+        low, width = rank, 1
+        while width < SPREAD:
+            low = np.minimum(low[: len(low) - width], low[width:])
+            width *= 2
+        votes = np.bincount(low[ragged(first[long], windows[long] - SPREAD + 1)] & 0xFFFFFFFF, minlength=n)
+        need = np.minimum(np.maximum.reduceat(votes, first[long]), VOTES)
+        chosen = np.flatnonzero(votes >= np.repeat(need, windows[long]))
+        of = long[np.searchsorted(first[long], chosen, side="right") - 1]
+        start = own.starts[of] + chosen - first[of]
+    brief = np.flatnonzero(short & (own.lengths > 0))
+    each = np.maximum(own.lengths[brief] - SHORT_WINDOW + 1, 1)
+    size = np.concatenate([np.full(len(start), WINDOW), np.repeat(np.minimum(own.lengths[brief], SHORT_WINDOW), each)])
+    start = np.concatenate([start, ragged(own.starts[brief], each)])
+    of = np.concatenate([of, np.repeat(brief, each)])
+    value = hashes.hash(start, size)
     by = np.lexsort((np.arange(len(of)), value, of))
     fresh = np.ones(len(by), bool)
     fresh[1:] = (of[by][1:] != of[by][:-1]) | (value[by][1:] != value[by][:-1])
@@ -210,7 +212,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """``row`` (all columns of ``docs``) and ``found.digest``, the chain of filters, of every document.
 
     Null and empty texts have an empty digest; equal texts have equal ones; a text of less than
-    one window is one feature.
+    one short window is one feature.
     """
     ranks = ranks_of(level_counts(docs))
     return map_texts(docs, "digest binary", lambda texts: [pa.array(digests(texts, ranks), pa.binary())])
