@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlake.llm import bpe, decontaminate, digest, simhash, suffix_dedup
+from paperlake.llm import bpe, decontaminate, digest, simhash, suffix_dedup, toxicity
 
 
 TOKENIZER = "word_bpe_49k.json"
@@ -23,6 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return found.select(
+        "row.doc_id",
+        toxicity.held_out("row.doc_id").alias("held_out"),
+        "found.score",
+        (F.col("found.score") >= toxicity.CUT).cast("int").alias("predicted"),
+    )
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -75,4 +85,4 @@ def op10_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op3_simhash, op5_bpe, op7_suffix_dedup, op10_digest)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_simhash, op5_bpe, op7_suffix_dedup, op10_digest)}
