@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlake.llm import bpe, decontaminate, digest, simhash, suffix_dedup, toxicity
+from paperlake.llm import bpe, decontaminate, digest, quality, simhash, suffix_dedup, toxicity
 
 
 TOKENIZER = "word_bpe_49k.json"
@@ -50,6 +50,16 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return found.select(
+        "row.doc_id",
+        quality.held_out("row.doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= quality.CUT).cast("int").alias("predicted"),
+    )
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
     return found.select(
@@ -85,4 +95,4 @@ def op10_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_simhash, op5_bpe, op7_suffix_dedup, op10_digest)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_simhash, op4_quality, op5_bpe, op7_suffix_dedup, op10_digest)}
