@@ -1,10 +1,11 @@
 """Byte-pair encoding over a table of distinct words.
 
-1. Documents are dealt, where they are read, into shards of about ``SHARD_BYTES``. A shard lists
-   its distinct words (split at ASCII white space, which no piece of a supported tokenizer
-   crosses), and a document becomes the positions of its words in that list.
-2. The word lists meet by word: every distinct word of the corpus is encoded once, however many
-   shards list it, and its ids go back to (shard, position).
+1. Documents are dealt, where they are read, into shards of about ``SHARD_BYTES``. A shard lists its
+   distinct words and a document becomes the positions of its words in that list. Words end at
+   ASCII white space and where ASCII marks meet letters or digits, places that no piece of a
+   supported tokenizer crosses, and A-Z is folded; a probe on the driver checks all three.
+2. The lists of all shards meet by word: every distinct word of the corpus is encoded once, however
+   many shards list it, and its ids go back to (shard, position).
 3. Documents and ids meet by shard; positions become ids, and ids become pieces by a map-side
    join with the id-to-piece table, whose size is that of the vocabulary.
 
@@ -12,13 +13,13 @@ Texts are never shuffled: a document travels as variable-length integers, a word
 A shard is named after its word list, its partition and its place in it. Documents must be a
 plan that yields the same rows in the same order when a task is repeated, as file scans do;
 a shard whose word list is missing stops the job, it never gives wrong ids.
-
-Only tokenizers that drop white space are supported: a probe on the driver checks that.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,12 +27,23 @@ import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from paperlake.llm.frames import ragged, texts_of
+from paperlake.llm.frames import LOWER, partitions_for, ragged, texts_of
+
+#: Words of a shard are held in memory, about 10 bytes of it for each byte of text.
+SHARD_BYTES = 32 << 20
+#: Letters and digits, and the ASCII marks (not the apostrophe) that never join them in a piece.
+_INNER, _MARK = "0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "\x00-\x08\x0e-\x1f!-&(-/:-@\\[-`{-\x7f"
+_CUT = re.compile(f"(?<=[{_INNER}])(?=[{_MARK}])|(?<=[{_MARK}])(?=[{_INNER}])")
 
-SHARD_BYTES = 8 << 20
+
+def words_in(chunk: bytes, special: tuple[bytes, ...]) -> list[bytes]:
+    """Words of a stretch without ASCII white space; stretches with a special token stay whole."""
+    if any(s in chunk for s in special):
+        return [chunk]
+    chunk = chunk.translate(LOWER)
+    return [chunk] if chunk.isalpha() else [w.encode() for w in _CUT.split(chunk.decode())]
 
 
 def tokenizer_of(definition: str) -> Tokenizer:
@@ -43,11 +55,11 @@ def tokenizer_of(definition: str) -> Tokenizer:
 
 
 def probe(tokenizer: Tokenizer) -> None:
-    """White space must separate words and leave no ids."""
+    """The places where words end must be ends of pieces, white space must leave no ids, A-Z be folded."""
     ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
     for space in " \t\n\r\x0b\x0c":
-        if ids(f"Ab1{space}{space}cd, e{space}") != ids("Ab1") + ids("cd,") + ids("e"):
-            raise ValueError("this tokenizer keeps white space; a table of words does not fit it")
+        if ids(f"Ab1{space}{space}cd, e{space}") != ids("ab1") + ids("cd") + ids(",") + ids("e"):
+            raise ValueError("this tokenizer keeps white space, case or marks; a table of words does not fit it")
 
 
 def packed(values: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -75,11 +87,14 @@ def unpacked(data: np.ndarray) -> np.ndarray:
     return out
 
 
+CHANGED = "a shard's word list is missing: the documents changed between two reads"
+
+
 class _Shard:
     """Documents of one shard in the making."""
 
     def __init__(self) -> None:
-        self.words: dict[bytes, int] = {}
+        self.chunks: dict[bytes, int] = {}
         self.positions: list[int] = []
         self.counts: list[int] = []
         self.ids: list = []
@@ -87,39 +102,62 @@ class _Shard:
 
     def add(self, doc_id, text: bytes) -> None:
         found = text.split()
-        listed = self.words
+        listed = self.chunks
         self.positions += [listed.setdefault(w, len(listed)) for w in found]
         self.counts.append(len(found))
         self.ids.append(doc_id)
         self.bytes += len(text)
 
-    def name(self, part: int, number: int) -> int:
+    def split(self, special: tuple[bytes, ...]) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+        """The word list, all chunks' words behind each other, and the words of each chunk."""
+        words: dict[bytes, int] = {}
+        parts = [words_in(c, special) for c in self.chunks]
+        inner = np.array([words.setdefault(w, len(words)) for p in parts for w in p], np.int64)
+        return words, inner, np.array([len(p) for p in parts], np.int64)
+
+    def name(self, words: dict[bytes, int], part: int, number: int) -> int:
         digest = xxhash.xxh3_64(b"%d %d " % (part, number))
-        digest.update(b"\n".join(self.words))
+        digest.update(b"\n".join(words))
         return digest.intdigest() - (1 << 63)
 
-    def word_rows(self, name: int) -> pa.RecordBatch:
-        n = len(self.words)
-        words = pa.array(list(self.words), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), pa.array(np.arange(n, dtype=np.int32)), words], ["shard", "position", "word"])
-
-    def document_rows(self, name: int, kind: pa.DataType) -> pa.RecordBatch:
-        data, size = packed(np.array(self.positions, np.int64))
+    def word_rows(self, name: int, words: dict[bytes, int], ranges: int) -> pa.RecordBatch:
+        """One row per range of word hashes: positions as steps, and the words."""
+        listed = list(words)
+        of = np.array([zlib.crc32(w) % ranges for w in listed], np.int64)
+        order = np.argsort(of, kind="stable")
+        numbers, firsts = np.unique(of[order], return_index=True)
+        groups = [order[a:b] for a, b in zip(firsts.tolist(), [*firsts[1:].tolist(), len(order)], strict=True)] if len(order) else []
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(len(groups), name)),
+                pa.array(numbers.astype(np.int32)),
+                pa.array([packed(np.diff(g, prepend=0))[0] for g in groups], pa.binary()),
+                pa.array([b"\n".join([listed[i] for i in g.tolist()]) for g in groups], pa.binary()),
+            ],
+            ["shard", "range", "steps", "words"],
+        )
+
+    def document_rows(self, name: int, inner: np.ndarray, per_chunk: np.ndarray, kind: pa.DataType) -> pa.RecordBatch:
+        at = np.array(self.positions, np.int64)
+        first = np.cumsum(per_chunk) - per_chunk
+        data, size = packed(inner[ragged(first[at], per_chunk[at])])
         ends = np.concatenate(([0], np.cumsum(size)))
-        cuts = np.concatenate(([0], np.cumsum(self.counts)))
+        words = np.concatenate(([0], np.cumsum(per_chunk[at])))
+        cuts = words[np.concatenate(([0], np.cumsum(self.counts)))]
         coded = pa.Array.from_buffers(pa.binary(), len(self.ids), [None, pa.py_buffer(ends[cuts].astype(np.int32)), pa.py_buffer(data)])
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(self.ids), name)), pa.array(self.ids, kind), coded], ["shard", "doc_id", "coded"])
 
 
-def _shards(docs: DataFrame, words: bool, shard_bytes: int) -> DataFrame:
-    """Word lists or coded documents of all shards; both see the same shards."""
+def _shards(docs: DataFrame, special: tuple[bytes, ...], shard_bytes: int, ranges: int = 0) -> DataFrame:
+    """Word lists (in ``ranges`` ranges) or coded documents of all shards; both see the same shards."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, shard, kind = TaskContext.get().partitionId(), 0, _Shard(), None
 
         def flush() -> pa.RecordBatch:
-            name = shard.name(part, number)
-            return shard.word_rows(name) if words else shard.document_rows(name, kind)
+            words, inner, per_chunk = shard.split(special)
+            name = shard.name(words, part, number)
+            return shard.word_rows(name, words, ranges) if ranges else shard.document_rows(name, inner, per_chunk, kind)
 
         for batch in batches:
             kind = batch.column(0).type
@@ -132,7 +170,7 @@ def _shards(docs: DataFrame, words: bool, shard_bytes: int) -> DataFrame:
             yield flush()
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = "shard long, position int, word binary" if words else f"shard long, doc_id {id_type}, coded binary"
+    schema = "shard long, range int, steps binary, words binary" if ranges else f"shard long, doc_id {id_type}, coded binary"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -151,50 +189,46 @@ def encode_decode(docs: DataFrame, path: str, shard_bytes: int = SHARD_BYTES) ->
     probe(tokenizer)
     if tokenizer.decoder is not None:
         raise ValueError("pieces are joined by a space; this tokenizer has a decoder of its own")
+    special = tuple(t.content.encode() for t in tokenizer.get_added_tokens_decoder().values())
     # both are bounded by the vocabulary, not by the documents
     shared = spark.sparkContext.broadcast(definition)
     pieces = spark.sparkContext.broadcast([(tokenizer.id_to_token(i) or "").encode() for i in range(tokenizer.get_vocab_size())])
 
-    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, last, ids = tokenizer_of(shared.value), None, b""
-        for batch in batches:
-            words = batch.column(2).to_pylist()
-            new = [w for w, before in zip(words, [last, *words[:-1]], strict=True) if w != before]
-            found = [np.array(e.ids, "<u4").tobytes() for e in own.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-            out, k = [], -1
-            for w in words:
-                if w != last:
-                    k += 1
-                    last, ids = w, found[k]
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["shard", "position", "ids"])
+    def encode(table: pa.Table) -> pa.Table:
+        own = tokenizer_of(shared.value)
+        lists = [w.split(b"\n") for w in table["words"].to_pylist()]
+        distinct = list(dict.fromkeys(w for words in lists for w in words))
+        found: dict[bytes, list[int]] = {}
+        for a in range(0, len(distinct), 1 << 14):
+            part = distinct[a : a + (1 << 14)]
+            found.update(zip(part, (e.ids for e in own.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)), strict=True))
+        counts = [packed(np.array([len(found[w]) for w in words], np.int64))[0] for words in lists]
+        ids = [packed(np.array([i for w in words for i in found[w]], np.int64))[0] for words in lists]
+        return pa.table({"shard": table["shard"], "steps": table["steps"], "counts": pa.array(counts, pa.binary()), "ids": pa.array(ids, pa.binary())})
 
     def assemble(listed: pa.Table, coded: pa.Table) -> pa.Table:
-        listed, coded = listed.combine_chunks(), coded.combine_chunks()
-        order = np.argsort(listed["position"].to_numpy(), kind="stable")
-        by_word = listed["ids"].take(pa.array(order)).to_pylist()
-        ids = np.frombuffer(b"".join(by_word), "<u4")
-        n_ids = np.array([len(x) // 4 for x in by_word], np.int64)
-        first = np.cumsum(n_ids) - n_ids
+        whole = lambda name: [unpacked(np.frombuffer(x, np.uint8)) for x in listed[name].to_pylist()] or [np.empty(0, np.int64)]
+        at = np.concatenate([np.cumsum(x) for x in whole("steps")])
+        counts, ids = np.concatenate(whole("counts")), np.concatenate(whole("ids"))
+        n_ids, first = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        if len(at) and at.max() >= len(at):
+            raise ValueError(CHANGED)
+        n_ids[at], first[at] = counts, np.cumsum(counts) - counts
         table = pieces.value
         said = [b" ".join([table[i] for i in ids[a : a + n].tolist()]) for a, n in zip(first.tolist(), n_ids.tolist(), strict=True)]
+        ids = ids.astype("<u4")
         out_ids, out_text = [], []
         for data in coded["coded"].to_pylist():
-            at = unpacked(np.frombuffer(data, np.uint8))
-            if len(at) and at.max() >= len(by_word):
-                raise ValueError("a shard's word list is missing: the documents changed between two reads")
-            at = at[n_ids[at] > 0]
-            out_ids.append(ids[ragged(first[at], n_ids[at])].tobytes())
-            out_text.append(b" ".join([said[i] for i in at.tolist()]))
+            words = unpacked(np.frombuffer(data, np.uint8))
+            if len(words) and words.max() >= len(said):
+                raise ValueError(CHANGED)
+            words = words[n_ids[words] > 0]
+            out_ids.append(ids[ragged(first[words], n_ids[words])].tobytes())
+            out_text.append(b" ".join([said[i] for i in words.tolist()]))
         return pa.table({"doc_id": coded["doc_id"], "ids": pa.array(out_ids, pa.binary()), "decoded": pa.array(out_text, pa.binary()).cast(pa.string())})
 
-    by_word = F.col("word")
-    encoded = (
-        _shards(docs, True, shard_bytes)
-        .repartition(by_word)
-        .sortWithinPartitions(by_word)
-        .mapInArrow(encode, "shard long, position int, ids binary")
-    )
-    coded = _shards(docs, False, shard_bytes)
+    ranges = partitions_for(docs)
+    encoded = _shards(docs, special, shard_bytes, ranges).groupBy("range").applyInArrow(encode, "shard long, steps binary, counts binary, ids binary")
+    coded = _shards(docs, special, shard_bytes)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return encoded.groupBy("shard").cogroup(coded.groupBy("shard")).applyInArrow(assemble, f"doc_id {id_type}, ids binary, decoded string")
