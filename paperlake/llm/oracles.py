@@ -1,5 +1,32 @@
 """DuckDB twins of the queries that SQL can express; the others are tested against brute force."""
 
+URL_FILTER = r"""
+with parts as (
+  select page_id, case when instr(coalesce(url, ''), '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages
+), split as (
+  select page_id, rest, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path,
+         list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&'),
+                               lambda p: p <> '' and not starts_with(p, 'utm_') and not starts_with(p, 'ref='))) as query
+  from parts
+), known as (
+  select page_id, host, path,
+         case when regexp_replace(host, '^(www|m)\.', '') <> '' then
+           regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '/+$', '')
+           || case when len(query) > 0 then '?' || array_to_string(query, '&') else '' end end as canonical,
+         case when (host = 'example.net' or host like '%.example.net') and path like '/en/%' then 'example.net/en/'
+              when (host = 'example.com' or host like '%.example.com') and path like '/de/%' then 'example.com/de/'
+              when (host = 'org' or host like '%.org') and path like '/fr/%' then 'org/fr/'
+              when (host = 'net' or host like '%.net') and path like '/%' then 'net/' end as rule
+  from split
+)
+select page_id, host, path, rule,
+       case when rule in ('example.net/en/', 'org/fr/') then 'allow' when rule is not null then 'block'
+            when canonical in (select canonical from known where starts_with(host, 'spam-') and canonical is not null) then 'block'
+            else 'allow' end as verdict
+from known
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_url_filter": URL_FILTER}

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlake.llm import bpe, decontaminate, digest, quality, simhash, suffix_dedup, toxicity
+from paperlake.llm import bpe, decontaminate, digest, quality, simhash, suffix_dedup, token_counts, toxicity, url_filter
 
 
 TOKENIZER = "word_bpe_49k.json"
+WORD_PIECES = "byte_bpe_50k.json"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -81,6 +82,18 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_counts.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(WORD_PIECES))
+    return found.select("row.doc_id", "found.n_words", "found.n_tokens")
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list: addresses of spam hosts among the pages, which other spellings of them hit as well."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.where(url_filter.host_of(F.col("url")).startswith("spam-")).select("url")
+    return url_filter.judge(pages, listed).select("row.page_id", "host", "path", "rule", "verdict")
+
+
 def op10_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = digest.against_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
@@ -95,4 +108,4 @@ def op10_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_simhash, op4_quality, op5_bpe, op7_suffix_dedup, op10_digest)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_simhash, op4_quality, op5_bpe, op7_suffix_dedup, op8_token_counts, op9_url_filter, op10_digest)}
