@@ -1,5 +1,7 @@
 """DuckDB twins of the queries that SQL can express; the others are tested against brute force."""
 
+from paperlake.llm.licenses import TEMPLATES, THRESHOLD
+
 URL_FILTER = r"""
 with parts as (
   select page_id, case when instr(coalesce(url, ''), '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages
@@ -28,5 +30,57 @@ from known
 """
 
 
+_TEMPLATES = ", ".join(f"('{name}', {k}, '{text}')" for k, (name, text) in enumerate(TEMPLATES.items()))
+
+LICENSES = rf"""
+with templates(license, place, statement) as (values {_TEMPLATES}
+), template_terms as (
+  select license, place, term, count(*) as tf
+  from (select license, place, unnest(regexp_split_to_array(lower(statement), '[^a-z0-9]+')) as term from templates)
+  where term <> '' group by all
+), line_terms as (
+  select doc_id, line, term, count(*) as tf
+  from (
+    select doc_id, line, unnest(string_split_regex(translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+')) as term
+    from (select doc_id, unnest(string_split(text, chr(10))) as content, generate_subscripts(string_split(text, chr(10)), 1) as line from documents)
+  ) where term <> '' group by all
+), n as (select count(*) as docs from documents
+), idf as (
+  select t.term, ln((1 + n.docs) / (1 + count(distinct l.doc_id))) + 1 as idf
+  from (select distinct term from template_terms) t left join line_terms l on l.term = t.term, n group by t.term, n.docs
+), sizes as (
+  select license, sqrt(sum(tf * tf * idf * idf)) as size from template_terms join idf using (term) group by license
+), line_sizes as (
+  select doc_id, line, sqrt(sum(power(tf * coalesce(idf, ln(1 + n.docs) + 1), 2))) as size
+  from line_terms left join idf using (term), n group by all
+), cosines as (
+  select l.doc_id, l.line, t.license, t.place, round(sum(l.tf * t.tf * i.idf * i.idf) / any_value(s.size) / any_value(z.size), 6) as score
+  from line_terms l join template_terms t on l.term = t.term join idf i on i.term = l.term
+  join sizes s on s.license = t.license join line_sizes z on z.doc_id = l.doc_id and z.line = l.line
+  group by l.doc_id, l.line, t.license, t.place
+), best as (
+  select doc_id, line, license, score from cosines where score >= {THRESHOLD}
+  qualify row_number() over (partition by doc_id order by score desc, line, place) = 1
+), files as (
+  select d.doc_id, b.license, b.score,
+         case when b.line is not null and length(d.text) < 1000 then
+           case d.doc_id % 3 when 0 then d.source when 1 then d.source || '/' || d.lang else d.source || '/' || d.lang || '/d' || (d.doc_id % 64) end
+         else d.source || '/' || d.lang || '/d' || (d.doc_id % 64) end as directory,
+         case when b.line is not null and length(d.text) < 1000 then 'LICENSE.' || d.doc_id else d.doc_id || '.txt' end as name
+  from documents d left join best b using (doc_id)
+), given as (
+  select directory as above, license as given from files where name like 'LICENSE.%' and license is not null
+  qualify row_number() over (partition by directory order by score desc, license desc) = 1
+), nearest as (
+  select f.doc_id, g.above, g.given from files f join given g on f.directory = g.above or starts_with(f.directory, g.above || '/')
+  qualify row_number() over (partition by f.doc_id order by length(g.above) desc) = 1
+)
+select f.doc_id, f.directory || '/' || f.name as path, f.license, round(f.score, 4) as score, coalesce(f.license, n.given) as licensed_as,
+       case when f.license is not null then 'header' when n.doc_id is not null then 'inherited' else 'none' end as how,
+       case when f.license is null then n.above end as from_directory
+from files f left join nearest n using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filter": URL_FILTER}
+    return {"op6_licenses": LICENSES, "op9_url_filter": URL_FILTER}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlake.llm import bpe, decontaminate, digest, quality, simhash, suffix_dedup, token_counts, toxicity, url_filter
+from paperlake.llm import bpe, decontaminate, digest, licenses, quality, simhash, suffix_dedup, token_counts, toxicity, url_filter
 
 
 TOKENIZER = "word_bpe_49k.json"
@@ -71,6 +71,19 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: source, lang and one of 64 folders. Statements of under 1,000
+    characters are licence files, of one of these three directories by their id."""
+    found = licenses.statements(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    folder = F.concat(F.lit("d"), F.pmod("row.doc_id", F.lit(64)).cast("string"))
+    levels = F.array(F.col("row.source"), F.col("row.lang"), folder)
+    short = F.col("license").isNotNull() & (F.length("row.text") < 1000)
+    name = F.when(short, F.concat(F.lit("LICENSE."), F.col("row.doc_id"))).otherwise(F.concat(F.col("row.doc_id").cast("string"), F.lit(".txt")))
+    depth = F.when(short, F.pmod("row.doc_id", F.lit(3)).cast("int") + 1).otherwise(F.lit(3))
+    files = found.select("row.doc_id", F.concat_ws("/", F.array_join(F.slice(levels, F.lit(1), depth), "/"), name).alias("path"), "license", "score")
+    return licenses.inherited(files).withColumn("score", F.round("score", 4))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
@@ -108,4 +121,4 @@ def op10_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_simhash, op4_quality, op5_bpe, op7_suffix_dedup, op8_token_counts, op9_url_filter, op10_digest)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_simhash, op4_quality, op5_bpe, op6_licenses, op7_suffix_dedup, op8_token_counts, op9_url_filter, op10_digest)}
