@@ -64,9 +64,10 @@ def states(requests: DataFrame, collections: DataFrame, memberships: DataFrame,
         .agg(F.count(F.lit(1)).alias("papers"))
     )
     wanted = requests.select(*TENANT, strip(F.col("name")).alias("name")).distinct()
+    # collections and their papers first: missing ones would all meet under one empty id
+    known = collections.select("id", *COLLECTION_KEY).join(held, "id", "left")
     return (
-        wanted.join(collections.select("id", *COLLECTION_KEY), COLLECTION_KEY, "left")
-        .join(held, "id", "left")
+        wanted.join(known, COLLECTION_KEY, "left")
         .select(
             *COLLECTION_KEY,
             F.when(F.col("id").isNull(), "missing")

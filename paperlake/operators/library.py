@@ -20,9 +20,11 @@ from paperlake.constants import (
 )
 from paperlake.functions.display import row_fields
 from paperlake.functions.lists import as_list
-from paperlake.functions.text import date_part, truncate
+from paperlake.functions.text import date_part, strip, truncate
 from paperlake.operators.skew import HOT_ROWS, rank_in_group
 
+#: Parts of a tenant's items in a look-up.
+PARTS = 16
 CORPUS_COLUMNS = [
     "paper_id", "title", "authors", "summary", "published", "categories", "arxiv_url", "pdf_url", "doi",
 ]
@@ -71,12 +73,16 @@ def by_status(saved: DataFrame, status: str) -> DataFrame:
     return listing(saved.where(F.col("status") == status))
 
 
+def _asked(requests: DataFrame) -> DataFrame:
+    """Different papers asked for; white space around an id does not count."""
+    return requests.select(*TENANT, strip(F.col("paper_id")).alias("paper_id")).distinct()
+
+
 def paper_exists(requests: DataFrame, saved: DataFrame) -> DataFrame:
     """Flag per requested user_id, guild_id, paper_id."""
     flags = saved.select(*PAPER_KEY, F.lit(True).alias("saved"))
     return (
-        requests.select(*PAPER_KEY)
-        .distinct()
+        _asked(requests)
         .join(flags, PAPER_KEY, "left")
         .withColumn("saved", F.coalesce(F.col("saved"), F.lit(False)))
     )
@@ -88,8 +94,7 @@ def notes(requests: DataFrame, saved: DataFrame) -> DataFrame:
     note = F.when(F.col("_saved"), F.coalesce(F.col("note"), F.lit("")))
     state = F.when(note.isNull(), "not_saved").when(note == "", "no_note").otherwise("note")
     return (
-        requests.select(*PAPER_KEY)
-        .distinct()
+        _asked(requests)
         .join(held, PAPER_KEY, "left")
         .select(*PAPER_KEY, note.alias("note"), state.alias("state"))
     )
@@ -100,20 +105,18 @@ def suggest(
 ) -> DataFrame:
     """First ``limit`` items that contain the needle, ignoring case; an empty needle keeps all.
 
-    ``requests``: user_id, guild_id, needle.
+    ``requests``: user_id, guild_id, needle. Items are dealt to ``PARTS`` parts of their tenant, every
+    part keeps its first ``limit`` per needle, and only these meet: no task sees all of a tenant's pairs.
     """
-    hits = (
-        requests.select(*TENANT, "needle")
-        .distinct()
-        .join(items, TENANT)
-        .where(F.contains(F.lower(F.col(column)), F.lower(F.col("needle"))))
-    )
-    place = Window.partitionBy(*TENANT, "needle").orderBy(*order)
-    return (
-        hits.withColumn("position", F.row_number().over(place))
-        .where(F.col("position") <= limit)
-        .select(*TENANT, "needle", column, "position")
+    part = F.pmod(F.xxhash64(column), F.lit(PARTS)).cast("int")
+    asked = requests.select(*TENANT, "needle").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    hits = asked.join(items.withColumn("part", part), [*TENANT, "part"]).where(
+        F.contains(F.lower(F.col(column)), F.lower(F.col("needle")))
     )
+    for keys in ([*TENANT, "needle", "part"], [*TENANT, "needle"]):
+        place = Window.partitionBy(*keys).orderBy(*order)
+        hits = hits.withColumn("position", F.row_number().over(place)).where(F.col("position") <= limit)
+    return hits.select(*TENANT, "needle", column, "position")
 
 
 def suggest_paper_ids(requests: DataFrame, saved: DataFrame) -> DataFrame:
@@ -181,7 +184,9 @@ def stats(saved: DataFrame, collections: DataFrame) -> DataFrame:
         .select(*TENANT, F.transform("_top", lambda x: F.struct(x["category"], x["papers"])).alias("top_categories"))
     )
     zeros = ["total", *[s.replace("-", "_") for s in STATUSES], "collections_count"]
-    return counts.join(named, TENANT, "full").join(top, TENANT, "left").fillna(0, subset=zeros)
+    joined = counts.join(named, TENANT, "full").join(top, TENANT, "left").fillna(0, subset=zeros)
+    none = F.array().cast(top.schema["top_categories"].dataType)
+    return joined.withColumn("top_categories", F.coalesce("top_categories", none))
 
 
 def pages(saved: DataFrame, per_page: int = PAPERS_PER_PAGE, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -49,9 +49,7 @@ def _known_key(requests: DataFrame, keys: list[str], table: DataFrame, hot_rows:
         .agg(F.count(F.lit(1)).alias("requests"))
         .join(table.select(*keys, F.lit(True).alias("known")), keys, "left")
     )
-    found = salted_lookup(
-        requests, touched, keys, "requests", ["seq"], most=requests.count(), hot_rows=hot_rows
-    )
+    found = salted_lookup(requests, touched, keys, "requests", ["seq"], "left", hot_rows=hot_rows)
     return found.withColumn("known", F.coalesce(F.col("known"), F.lit(False))).drop("requests")
 
 
@@ -155,9 +153,7 @@ def add_to_collection(
         .when(F.col("_member"), "duplicate")
         .alias("_fixed"),
     )
-    return salted_lookup(
-        asked, resolved, key, "requests", ["seq"], most=asked.count(), hot_rows=hot_rows
-    ).select(
+    return salted_lookup(asked, resolved, key, "requests", ["seq"], hot_rows=hot_rows).select(
         "seq",
         "requested_at",
         *key,
@@ -190,9 +186,7 @@ def remove_from_collection(
         .join(memberships.select(*MEMBERSHIP_KEY, F.lit(True).alias("_member")), MEMBERSHIP_KEY, "left")
     )
     removed = F.col("_member") & (F.col("seq") == F.col("first_seq"))
-    outcomes = salted_lookup(
-        asked, resolved, key, "requests", ["seq"], most=asked.count(), hot_rows=hot_rows
-    ).select(
+    outcomes = salted_lookup(asked, resolved, key, "requests", ["seq"], hot_rows=hot_rows).select(
         "seq",
         *key,
         F.when(F.col("collection_id").isNull(), "not_found")

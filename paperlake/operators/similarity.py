@@ -1,16 +1,12 @@
 """TF-IDF cosine over every library at once.
 
-A *bag* is a paper's ``array<struct<term, tf>>``, computed once per distinct paper
-and joined to the libraries that hold it, so a text saved by many tenants is
-tokenised once. Each library is its own corpus: ``df`` and ``n`` are counted inside
-the group ``keys``.
+A *bag* is a paper's ``array<struct<term, tf>>``, computed once per distinct paper, kept as a
+table and joined to the libraries that hold it, so a text saved by many tenants is tokenised
+once. Each library is its own corpus: ``df`` and ``n`` are counted inside the tenant.
 
-Two exact plans compute the scores:
-
-* groups up to ``COLOCATE_ROWS`` papers: one shuffle of the compact bags by group,
-  then term counts, norms and dot products without any further shuffle of terms;
-* larger groups: term-keyed joins, terms that own many rows salted, so no task ever
-  sees a whole group or a whole term.
+One plan serves libraries of any size: terms are joined by (tenant, term), aggregates combine
+before they are shuffled, and a term that many papers or many targets share is dealt to a grid
+(``skew.salted_lookup``). No task holds a library, a term's papers or a target's candidates.
 """
 
 from __future__ import annotations
@@ -19,22 +15,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperlake.constants import RELATED_TOP_K, SCORE_DECIMALS, TENANT
-from paperlake.functions.text import paper_text, tokens
-from paperlake.operators.skew import HOT_ROWS, HotGroups, hot_groups, place, salted_lookup
-from paperlake.runtime import durable
+from paperlake.functions.text import paper_text, strip, tokens
+from paperlake.operators.skew import HOT_ROWS, salted_lookup
 
-COLOCATE_ROWS = 20_000
+TERM_KEY = [*TENANT, "term"]
 
 
 def term_counts(papers: DataFrame, keys: list[str]) -> DataFrame:
     """Term frequency per document: ``keys, term, tf``.
 
-    ``keys`` must identify a document; its text moves once and the counts stay local.
+    ``keys`` must identify a document. A text is counted where it is read; only terms with their
+    counts are shuffled.
     """
     text = paper_text(F.col("title"), F.col("summary"), F.col("categories"))
-    placed = place(papers.select(*keys, "title", "summary", "categories"), keys, 0, COLOCATE_ROWS)
     return (
-        placed.select(*keys, F.explode(tokens(text)).alias("term"))
+        papers.select(*keys, F.explode(tokens(text)).alias("term"))
         .groupBy(*keys, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -81,84 +76,70 @@ def tfidf_vectors(counts: DataFrame, documents: int, document: str = "paper_id")
     )
 
 
-def _pair_sums(weighted: DataFrame, keys: list[str]) -> DataFrame:
-    """Cosine per pair from rows of pair, side, term, w."""
-    pair = [*keys, "paper_a", "paper_b"]
-    w_a = F.sum(F.when(F.col("side") == "a", F.col("w")))
-    w_b = F.sum(F.when(F.col("side") == "b", F.col("w")))
+def library_terms(library: DataFrame, bags: DataFrame, bag_keys: list[str]) -> DataFrame:
+    """Terms of every saved paper: user_id, guild_id, paper_id, term, tf."""
+    held = library.select(*dict.fromkeys([*TENANT, "paper_id", *bag_keys]))
+    return held.join(bags, bag_keys).select(*TENANT, "paper_id", F.inline("bag"))
+
+
+def library_sizes(library: DataFrame) -> DataFrame:
+    """Papers per tenant, those without terms included."""
+    return library.groupBy(*TENANT).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _of_tenants(library: DataFrame, asked: DataFrame) -> DataFrame:
+    return library.join(asked.select(*TENANT).distinct(), TENANT, "left_semi")
+
+
+def _norms(terms: DataFrame, frequencies: DataFrame, hot_rows: int) -> DataFrame:
+    """Per saved paper: norm2 and the sums that shift it to another corpus size (tf2, tf2_idf)."""
+    tf2 = F.col("tf") * F.col("tf")
     return (
-        weighted.groupBy(*pair, "term")
-        .agg(w_a.alias("w_a"), w_b.alias("w_b"))
-        .groupBy(*pair)
+        salted_lookup(terms, frequencies, TERM_KEY, "df", ["paper_id"], hot_rows=hot_rows)
+        .groupBy(*TENANT, "paper_id")
         .agg(
-            F.sum(F.col("w_a") * F.col("w_b")).alias("dot"),
-            F.sqrt(F.sum(F.col("w_a") * F.col("w_a"))).alias("norm_a"),
-            F.sqrt(F.sum(F.col("w_b") * F.col("w_b"))).alias("norm_b"),
+            F.sum(tf2).alias("tf2"),
+            F.sum(tf2 * F.col("idf")).alias("tf2_idf"),
+            F.sum(tf2 * F.col("idf") * F.col("idf")).alias("norm2"),
         )
-        .select(*pair, (F.col("dot") / (F.col("norm_a") * F.col("norm_b"))).alias("score"))
     )
 
 
 def cosine_pairs(
-    pairs: DataFrame,
-    library: DataFrame,
-    bags: DataFrame,
-    colocate_rows: int = COLOCATE_ROWS,
-    hot_rows: int = HOT_ROWS,
+    pairs: DataFrame, library: DataFrame, bags: DataFrame, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Score given pairs user_id, guild_id, paper_a, paper_b; no shared term means 0.
 
-    Each pair brings its two bags along, so the work grows with the pairs asked for. The
-    document length cancels in the cosine, so tf times idf is enough.
+    Weights and norms are made once per paper of a tenant, however many pairs it is in. The
+    document length cancels in the cosine, so tf times idf is enough. A paper that is not saved
+    is weighed by the library's frequencies.
     """
-    keys, wanted = TENANT, pairs.select(*TENANT, "paper_a", "paper_b").distinct()
-    hot = hot_groups(library.select(*keys), keys, colocate_rows)
-    large_keys = F.broadcast(hot.groups.select(*keys))
-    none = F.lit(None).cast("string")
-
-    def entries(members: DataFrame, asked: DataFrame) -> DataFrame:
-        """Members once each, then both papers of every pair."""
-        rows = members.select(*keys, "paper_id", none.alias("paper_a"), none.alias("paper_b"), none.alias("side"))
-        for side in ("a", "b"):
-            rows = rows.unionByName(
-                asked.select(
-                    *keys, F.col(f"paper_{side}").alias("paper_id"), "paper_a", "paper_b", F.lit(side).alias("side")
-                )
-            )
-        return rows
-
-    small, asked = library, wanted
-    if hot.count > 0:
-        small = library.join(large_keys, keys, "left_anti")
-        asked = wanted.join(large_keys, keys, "left_anti")
-    small = entries(small.join(asked.select(*keys).distinct(), keys, "left_semi"), asked)
-    is_member = F.col("side").isNull()
-
-    # small groups: one shuffle of bags by group, counts as windows over it
-    placed = (
-        place(small.join(bags, "paper_id", "left"), keys, hot.all_rows, COLOCATE_ROWS)
-        .withColumn("n", F.count_if(is_member).over(Window.partitionBy(*keys)))
+    wanted = pairs.select(*TENANT, "paper_a", "paper_b").distinct()
+    members = _of_tenants(library, wanted)
+    sizes = library_sizes(members)
+    frequencies = document_frequencies(library_terms(members, bags, ["paper_id"]), TENANT)
+    sides = [wanted.select(*TENANT, F.col(f"paper_{x}").alias("paper_id")) for x in ("a", "b")]
+    own = library_terms(sides[0].unionByName(sides[1]).distinct(), bags, ["paper_id"])
+    owners = own.groupBy(*TERM_KEY).agg(F.count(F.lit(1)).alias("rows"))
+    known = owners.join(frequencies, TERM_KEY, "left").join(sizes, TENANT, "left")
+    known = known.select(*TERM_KEY, "rows", idf(F.coalesce("n", F.lit(0)), F.coalesce("df", F.lit(0))).alias("idf"))
+    weights = salted_lookup(own, known, TERM_KEY, "rows", ["paper_id"], hot_rows=hot_rows).select(
+        *TENANT, "paper_id", "term", (F.col("tf") * F.col("idf")).alias("w")
     )
-    df = F.count_if(is_member).over(Window.partitionBy(*keys, "term"))
-    terms = placed.select(*keys, "paper_a", "paper_b", "side", "n", F.inline("bag"))
-    weighted = terms.withColumn("w", F.col("tf") * idf(F.col("n"), df)).where(F.col("side").isNotNull())
-    scored = _pair_sums(weighted, keys)
-
-    if hot.count > 0:
-        asked = wanted.join(large_keys, keys, "left_semi")
-        large = entries(library.join(large_keys, keys, "left_semi"), asked).join(bags, "paper_id", "left")
-        sizes = hot.groups.select(*keys, F.col("group_rows").alias("n"))
-        terms = large.select(*keys, "paper_id", "paper_a", "paper_b", "side", F.inline("bag"))
-        used = terms.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("rows"))
-        frequencies = durable(
-            inverse_frequencies(terms.where(is_member), F.broadcast(sizes), keys).join(used, [*keys, "term"])
-        )
-        weighted = salted_lookup(
-            terms.where(F.col("side").isNotNull()), frequencies, [*keys, "term"], "rows",
-            ["paper_a", "paper_b"], hot_rows=hot_rows,
-        ).withColumn("w", F.col("tf") * F.col("idf"))
-        scored = scored.unionByName(_pair_sums(weighted, keys))
-    return wanted.join(scored, [*keys, "paper_a", "paper_b"], "left").withColumn(
+    norms = weights.groupBy(*TENANT, "paper_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+
+    def of(df: DataFrame, side: str) -> DataFrame:
+        return df.withColumnsRenamed({"paper_id": f"paper_{side}", "w": f"w_{side}", "norm": f"norm_{side}"})
+
+    dots = (
+        wanted.join(of(weights, "a"), [*TENANT, "paper_a"])
+        .join(of(weights, "b"), [*TENANT, "paper_b", "term"])
+        .groupBy(*TENANT, "paper_a", "paper_b")
+        .agg(F.sum(F.col("w_a") * F.col("w_b")).alias("dot"))
+    )
+    scored = dots.join(of(norms, "a"), [*TENANT, "paper_a"]).join(of(norms, "b"), [*TENANT, "paper_b"])
+    score = scored.select(*TENANT, "paper_a", "paper_b", (F.col("dot") / (F.col("norm_a") * F.col("norm_b"))).alias("score"))
+    return wanted.join(score, [*TENANT, "paper_a", "paper_b"], "left").withColumn(
         "score", F.coalesce(F.col("score"), F.lit(0.0))
     )
 
@@ -166,111 +147,16 @@ def cosine_pairs(
 # --- related papers ----------------------------------------------------------
 
 
-def _score(dot: Column, norm2_a: Column, norm2_b: Column) -> Column:
-    return F.round(dot / (F.sqrt(norm2_a) * F.sqrt(norm2_b)), SCORE_DECIMALS)
-
-
 def _top(scored: DataFrame, keys: list[str], top_k: int) -> DataFrame:
+    score = F.round(F.col("dot") / (F.sqrt("norm2") * F.sqrt("target_norm2")), SCORE_DECIMALS)
     best = Window.partitionBy(*keys, "target_id").orderBy(F.desc("score"), "paper_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
+    ranked = scored.withColumn("score", score).withColumn("rank", F.row_number().over(best))
+    return ranked.where(F.col("rank") <= top_k).select(*keys, "target_id", "paper_id", "score", "rank")
 
 
-def _related_colocated(members: DataFrame, keys: list[str], top_k: int, rows: int) -> DataFrame:
-    """Small groups. ``members``: keys, paper_id, is_target, bag (NULL without terms)."""
-    placed = (
-        place(members, keys, rows, COLOCATE_ROWS)
-        .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-        .where("n > 1")  # a single paper has no candidates
-    )
-    terms = placed.select(*keys, "paper_id", "is_target", "n", F.inline("bag"))
-    same_term = Window.partitionBy(*keys, "term")
-    target_tf = F.when(F.col("is_target"), F.struct(F.col("paper_id").alias("target_id"), F.col("tf")))
-    weighted = terms.select(
-        *keys,
-        "paper_id",
-        "tf",
-        F.pow(idf(F.col("n"), F.count(F.lit(1)).over(same_term)), F.lit(2.0)).alias("w2"),
-        F.collect_list(target_tf).over(same_term).alias("targets"),
-    )
-    # The entry without a target carries the paper's own norm through the same aggregate.
-    no_target = F.struct(F.lit(None).cast("string").alias("target_id"), F.col("tf"))
-    products = weighted.select(
-        *keys, "paper_id", "tf", "w2", F.explode(F.concat(F.array(no_target), F.col("targets"))).alias("q")
-    )
-    sums = products.groupBy(*keys, "paper_id", F.col("q.target_id").alias("target_id")).agg(
-        F.sum(F.col("tf") * F.col("q.tf") * F.col("w2")).alias("dot")
-    )
-    own = F.max(F.when(F.col("target_id").isNull(), F.col("dot")))
-    of_target = F.max(F.when(F.col("target_id") == F.col("paper_id"), F.col("dot")))
-    scored = (
-        sums.withColumn("norm2", own.over(Window.partitionBy(*keys, "paper_id")))
-        .where(F.col("target_id").isNotNull())
-        .withColumn("target_norm2", of_target.over(Window.partitionBy(*keys, "target_id")))
-        .where(F.col("paper_id") != F.col("target_id"))
-        .withColumn("score", _score(F.col("dot"), F.col("norm2"), F.col("target_norm2")))
-    )
-    return _top(scored, keys, top_k).select(*keys, "target_id", "paper_id", "score", "rank")
-
-
-def _related_by_term(
-    members: DataFrame, sizes: DataFrame, keys: list[str], top_k: int, hot_rows: int
-) -> DataFrame:
-    """Groups of any size. ``sizes``: keys, n."""
-    terms = members.select(*keys, "paper_id", "is_target", F.inline("bag"))
-    term_key = [*keys, "term"]
-    frequencies = durable(
-        inverse_frequencies(terms, sizes, keys).select(
-            *term_key, "df", F.pow(F.col("idf"), F.lit(2.0)).alias("w2")
-        )
-    )
-    norms = (
-        salted_lookup(terms, frequencies, term_key, "df", ["paper_id"], hot_rows=hot_rows)
-        .groupBy(*keys, "paper_id")
-        .agg(F.sum(F.col("tf") * F.col("tf") * F.col("w2")).alias("norm2"))
-    )
-    wanted = terms.where("is_target").select(
-        *keys, F.col("paper_id").alias("target_id"), "term", F.col("tf").alias("target_tf")
-    )
-    wanted = wanted.join(frequencies, term_key)
-    target_norms = wanted.groupBy(*keys, "target_id").agg(
-        F.sum(F.col("target_tf") * F.col("target_tf") * F.col("w2")).alias("target_norm2")
-    )
-    # The target's norm rides along with its terms: joining it to the candidates later
-    # would gather all candidates of one target under one key.
-    wanted = wanted.join(target_norms, [*keys, "target_id"])
-    dots = (
-        salted_lookup(terms, wanted, term_key, "df", ["paper_id"], hot_rows=hot_rows)
-        .where(F.col("paper_id") != F.col("target_id"))
-        .groupBy(*keys, "target_id", "paper_id")
-        .agg(
-            F.sum(F.col("tf") * F.col("target_tf") * F.col("w2")).alias("dot"),
-            F.max("target_norm2").alias("target_norm2"),
-        )
-    )
-    scored = dots.join(norms, [*keys, "paper_id"]).withColumn(
-        "score", _score(F.col("dot"), F.col("norm2"), F.col("target_norm2"))
-    )
-    return _top(scored, keys, top_k).select(*keys, "target_id", "paper_id", "score", "rank")
-
-
-def _related(
-    small: DataFrame,
-    large: DataFrame | None,
-    hot: HotGroups,
-    bags: DataFrame,
-    keys: list[str],
-    bag_keys: list[str],
-    top_k: int,
-    hot_rows: int,
-) -> DataFrame:
-    """``small``, ``large``: keys, paper_id, is_target and the columns ``bag_keys`` name."""
-    found = _related_colocated(small.join(bags, bag_keys, "left"), keys, top_k, hot.all_rows)
-    if large is None:
-        return found
-    sizes = F.broadcast(hot.groups.select(*keys, F.col("group_rows").alias("n")))
-    return found.unionByName(
-        _related_by_term(large.join(bags, bag_keys, "left"), sizes, keys, top_k, hot_rows)
-    )
+def _wanted(requests: DataFrame) -> DataFrame:
+    """Different targets asked for; white space around an id does not count."""
+    return requests.select(*TENANT, strip(F.col("paper_id")).alias("target_id")).distinct()
 
 
 def related_papers(
@@ -279,7 +165,6 @@ def related_papers(
     bags: DataFrame,
     bag_keys: list[str] | None = None,
     top_k: int = RELATED_TOP_K,
-    colocate_rows: int = COLOCATE_ROWS,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Most similar papers of the same library for each requested saved paper.
@@ -288,27 +173,25 @@ def related_papers(
     ``bag_keys`` (default paper_id). Only libraries with a request are touched;
     targets that are not saved give no rows. Ties go to the smaller paper_id.
     """
-    bag_keys = bag_keys or ["paper_id"]
-    asked = requests.select(*TENANT).distinct()
-    targets = requests.select(*TENANT, "paper_id").distinct().withColumn("is_target", F.lit(True))
-
-    def marked(members: DataFrame) -> DataFrame:
-        return (
-            members.select(*TENANT, "paper_id")
-            .join(targets, [*TENANT, "paper_id"], "left")
-            .withColumn("is_target", F.coalesce(F.col("is_target"), F.lit(False)))
-        )
-
-    # Large libraries are set apart by a broadcast list before anything shuffles by tenant.
-    hot = hot_groups(library.select(*TENANT), TENANT, colocate_rows)
-    if hot.count == 0:
-        small, large = marked(library.join(asked, TENANT, "left_semi")), None
-    else:
-        listed = hot.groups.select(*TENANT)
-        rest = library.join(F.broadcast(listed), TENANT, "left_anti")
-        small = marked(rest.join(asked, TENANT, "left_semi"))
-        large = marked(library.join(F.broadcast(listed.join(asked, TENANT, "left_semi")), TENANT, "left_semi"))
-    return _related(small, large, hot, bags, TENANT, bag_keys, top_k, hot_rows)
+    wanted = _wanted(requests)
+    members = _of_tenants(library, wanted)
+    terms = library_terms(members, bags, bag_keys or ["paper_id"])
+    frequencies = inverse_frequencies(terms, library_sizes(members), TENANT)
+    norms = _norms(terms, frequencies, hot_rows)
+    # a target's norm goes with its terms: joined later it would gather all candidates of a target
+    targets = (
+        wanted.join(terms.withColumnRenamed("paper_id", "target_id"), [*TENANT, "target_id"])
+        .join(norms.select(*TENANT, F.col("paper_id").alias("target_id"), F.col("norm2").alias("target_norm2")), [*TENANT, "target_id"])
+        .join(frequencies, TERM_KEY)
+        .select(*TERM_KEY, "target_id", "target_norm2", "df", (F.col("tf") * F.col("idf") * F.col("idf")).alias("target_w"))
+    )
+    dots = (
+        salted_lookup(terms, targets, TERM_KEY, "df", ["paper_id"], hot_rows=hot_rows, small_spread=["target_id"])
+        .where(F.col("paper_id") != F.col("target_id"))
+        .groupBy(*TENANT, "target_id", "paper_id")
+        .agg(F.sum(F.col("tf") * F.col("target_w")).alias("dot"), F.max("target_norm2").alias("target_norm2"))
+    )
+    return _top(dots.join(norms, [*TENANT, "paper_id"]), TENANT, top_k)
 
 
 def related_external(
@@ -316,34 +199,80 @@ def related_external(
     library: DataFrame,
     bags: DataFrame,
     top_k: int = RELATED_TOP_K,
-    colocate_rows: int = COLOCATE_ROWS,
     hot_rows: int = HOT_ROWS,
+    targets: DataFrame | None = None,
+    bag_keys: list[str] | None = None,
 ) -> DataFrame:
     """Like ``related_papers`` for a target that is not, or not in this version, in the library.
 
-    Per request the corpus is the library without that id, plus the target, so each
-    request is a group of its own and document frequencies include the target.
+    Per request the corpus is the library without that id, plus the target. ``targets``
+    (user_id, guild_id, paper_id, bag) gives a target's own, say fresher, text; by default it is the
+    bag of its id. ``bags`` by ``bag_keys`` are what the libraries hold, so stored copies stay as they are.
+
+    The library's frequencies and norms are made once, not per request: another corpus size shifts all
+    idf by one number, which the sums tf2 and tf2_idf turn into norms, and only terms of the target or of its
+    stored copy need a correction. Work follows the postings of those terms.
     """
-    keys = [*TENANT, "request_id"]
-    wanted = requests.select(*TENANT, F.col("paper_id").alias("request_id")).distinct()
-    candidates = (
-        wanted.join(library.select(*TENANT, "paper_id"), TENANT)
-        .where(F.col("paper_id") != F.col("request_id"))
-        .withColumn("is_target", F.lit(False))
+    request = [*TENANT, "target_id"]
+    wanted = _wanted(requests)
+    members = _of_tenants(library, wanted)
+    terms = library_terms(members, bags, bag_keys or ["paper_id"])
+    sizes = library_sizes(members)
+    frequencies = inverse_frequencies(terms, sizes, TENANT)
+    norms = _norms(terms, frequencies, hot_rows)
+
+    if targets is None:
+        bag_of = bags.select(F.col("paper_id").alias("target_id"), "bag")
+        fresh = wanted.join(bag_of, "target_id")
+    else:
+        fresh = wanted.join(targets.select(*TENANT, strip(F.col("paper_id")).alias("target_id"), "bag"), request)
+    fresh = fresh.select(*request, F.inline("bag")).withColumnRenamed("tf", "target_tf")
+    copy = wanted.join(terms.withColumnRenamed("paper_id", "target_id"), request).select(*request, "term", F.lit(1).alias("stored"))
+    saved = members.select(*TENANT, F.col("paper_id").alias("target_id"), F.lit(1).alias("held"))
+    corpus = (
+        wanted.join(sizes, TENANT)
+        .join(saved, request, "left")
+        .select(*request, "n", (F.col("n") - F.coalesce("held", F.lit(0)) + 1).alias("n2"))
+    )
+    shift = F.log((F.col("n2") + 1.0) / (F.col("n") + 1.0))
+    true_df = F.coalesce("df", F.lit(0)) - F.coalesce("stored", F.lit(0)) + F.col("target_tf").isNotNull().cast("int")
+    affected = (
+        fresh.join(copy, [*request, "term"], "full")
+        .join(corpus, request)
+        .join(frequencies.select(*TERM_KEY, "df", F.col("idf").alias("base")), TERM_KEY, "left")
+        .withColumn("true", idf(F.col("n2"), true_df))
+        .select(
+            *request,
+            "term",
+            "df",
+            shift.alias("shift"),
+            (F.col("target_tf") * F.col("true") * F.col("true")).alias("target_w"),
+            (F.col("target_tf") * F.col("target_tf") * F.col("true") * F.col("true")).alias("target_w2"),
+            (F.col("true") * F.col("true") - F.pow(F.col("base") + shift, F.lit(2.0))).alias("change"),
+        )
+    )
+    target_norms = affected.groupBy(*request).agg(F.sum("target_w2").alias("target_norm2"))
+    postings = affected.where("df is not null").join(target_norms, request)
+    tf = F.col("tf")
+    sums = (
+        salted_lookup(terms, postings, TERM_KEY, "df", ["paper_id"], hot_rows=hot_rows, small_spread=["target_id"])
+        .where(F.col("paper_id") != F.col("target_id"))
+        .groupBy(*request, "paper_id")
+        .agg(
+            F.sum(tf * F.col("target_w")).alias("dot"),
+            F.sum(tf * tf * F.col("change")).alias("change"),
+            F.max("shift").alias("shift"),
+            F.max("target_norm2").alias("target_norm2"),
+        )
+        .where("dot > 0")
     )
-    targets = wanted.withColumns({"paper_id": F.col("request_id"), "is_target": F.lit(True)})
-    members = candidates.unionByName(targets)
-    hot = hot_groups(members, keys, colocate_rows)
-    small, large = members, None
-    if hot.count > 0:
-        listed = F.broadcast(hot.groups.select(*keys))
-        small, large = members.join(listed, keys, "left_anti"), members.join(listed, keys, "left_semi")
-    return _related(small, large, hot, bags, keys, ["paper_id"], top_k, hot_rows).drop("request_id")
+    shifted = F.col("norm2") + 2 * F.col("shift") * F.col("tf2_idf") + F.col("shift") * F.col("shift") * F.col("tf2") + F.col("change")
+    return _top(sums.join(norms, [*TENANT, "paper_id"]).withColumn("norm2", shifted), TENANT, top_k)
 
 
 def related_states(requests: DataFrame, library: DataFrame, related: DataFrame) -> DataFrame:
     """Outcome per request: not_saved, too_few, none_similar or ok."""
-    wanted = requests.select(*TENANT, "paper_id").distinct()
+    wanted = requests.select(*TENANT, strip(F.col("paper_id")).alias("paper_id")).distinct()
     saved = library.select(*TENANT, "paper_id", F.lit(True).alias("_saved"))
     # The only paper of a library is the target itself, so the join can use the full key
     # and a tenant with very many requests stays spread out.

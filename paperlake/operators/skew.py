@@ -2,16 +2,14 @@
 
 Three tools, all exact:
 
-* ``salted_lookup`` joins a large table to a table with one row per key, spreading
-  the keys that own many rows over several salts.
+* ``salted_lookup`` joins on keys that may own very many rows on either side, spreading such keys over salts.
 * ``ordered_chunks`` cuts hot groups into ordered pieces of bounded size so that
   order-dependent work (ranks, running state) never needs a whole group in a task.
 * ``rank_in_group`` numbers rows inside groups of any size on top of it.
 
-A key counts as hot above ``hot_rows`` rows, or above (all rows / BROADCAST_KEYS) where
-that is more. There can be no more than ``BROADCAST_KEYS`` such keys, whatever the data,
-so the list of them is always small enough to broadcast; everything below that line
-is too small a share to unbalance a shuffle.
+The line above which a key is hot is a constant: it says how much one task may hold or make, and
+does not grow with the data. Lists of hot keys are broadcast only within a measured or fixed
+bound; beyond it they are joined like any other table.
 """
 
 from __future__ import annotations
@@ -25,7 +23,10 @@ from pyspark.sql import functions as F
 from paperlake.runtime import durable
 
 HOT_ROWS = 1_000_000
-BROADCAST_KEYS = 500_000
+#: Bytes of a list of hot keys that may be broadcast.
+BROADCAST_BYTES = 64 << 20
+#: Keys that ``salted_lookup`` spreads, the largest first; smaller ones stay with adaptive splitting.
+SPREAD_KEYS = 10_000
 
 
 def salted_lookup(
@@ -37,57 +38,68 @@ def salted_lookup(
     how: str = "inner",
     most: int | None = None,
     hot_rows: int = HOT_ROWS,
+    small_spread: list[str] | None = None,
 ) -> DataFrame:
     """Join ``big`` to ``small`` on ``keys``; ``small[rows]`` tells how many ``big`` rows a key owns.
 
-    Keys with more than ``hot_rows`` rows are spread over several salts by a hash of
-    ``spread``. ``small`` is repeated once per salt, cold keys are not repeated. A caller
-    that knows the ``most`` rows any key can own spares the look for hot keys.
+    A key makes (rows of ``big``) x (rows of ``small``) rows. Above ``hot_rows`` it is dealt to a grid:
+    ``big`` by a hash of ``spread``, ``small`` (where it has several rows per key) by one of
+    ``small_spread``, each repeated along the other side. Cold keys are not repeated. A left join
+    needs one row per key in ``small``. A caller that knows the ``most`` rows any key can make
+    spares the look for hot keys. Nothing runs while the plan is built.
     """
     if most is not None and most <= hot_rows:
         return big.join(small, keys, how)
-    owners = small.select(*keys, F.col(rows).alias("_rows")).distinct()
-    found = owners.agg(F.max("_rows").alias("most"), F.sum("_rows").alias("all")).first()
-    if (found["most"] or 0) <= hot_rows:
-        return big.join(small, keys, how)
-    line = hot_line(found["all"], hot_rows)
-    salts = F.ceil(F.col(rows) / F.lit(line)).cast("int")
-    hot = owners.where(F.col("_rows") > line).select(
-        *keys, F.ceil(F.col("_rows") / F.lit(line)).cast("int").alias("_salts")
-    )
-    salt = F.when(
-        F.col("_salts").isNotNull(), F.pmod(F.xxhash64(*spread), F.col("_salts").cast("long")).cast("int")
-    ).otherwise(F.lit(0))
-    salted = big.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_salts")
-    repeated = small.withColumn(
-        "_salt",
-        F.explode(F.sequence(F.lit(0), F.when(F.col(rows) > line, salts - 1).otherwise(F.lit(0)))),
+    owned = small.groupBy(*keys).agg(F.max(rows).alias("_owned"), F.count(F.lit(1)).alias("_fan"))
+    made = F.col("_owned").cast("double") * F.col("_fan")
+    cells = F.ceil(made / F.lit(hot_rows))
+    hot = (
+        owned.where(made > hot_rows)
+        .orderBy(F.desc(made), *keys)
+        .limit(SPREAD_KEYS)  # the list only shapes the plan, rows of all other keys are joined as well
+        .select(*keys, F.least(cells, F.col("_owned")).cast("int").alias("_a"), cells.alias("_cells"))
+        .select(*keys, "_a", F.ceil(F.col("_cells") / F.col("_a")).cast("int").alias("_b"))
     )
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    if how != "inner" or small_spread is None:
+        hot = hot.withColumn("_b", F.lit(1))
+    hot = F.broadcast(hot)
 
+    def dealt(df: DataFrame, by: list[str] | None, own: str, other: str) -> DataFrame:
+        place = F.pmod(F.xxhash64(*by), F.col(own).cast("long")).cast("int") if by else F.lit(0)
+        repeats = F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1)
+        marked = df.join(hot, keys, "left").withColumn(f"{own}_at", F.when(F.col(own).isNull(), F.lit(0)).otherwise(place))
+        return marked.withColumn(f"{other}_at", F.explode(repeats)).drop("_a", "_b")
 
-def hot_line(all_rows: int, hot_rows: int) -> int:
-    """Rows above which a key is hot; at most BROADCAST_KEYS keys can be above it."""
-    return max(hot_rows, math.ceil(all_rows / BROADCAST_KEYS))
+    at = [*keys, "_a_at", "_b_at"]
+    return dealt(big, spread, "_a", "_b").join(dealt(small, small_spread, "_b", "_a"), at, how).drop("_a_at", "_b_at")
 
 
 class HotGroups(NamedTuple):
     groups: DataFrame  # keys, group_rows
     count: int
-    rows: int  # rows of the hot groups
+    rows: int  # of the hot groups
     all_rows: int
+    bytes: int  # of the hot groups' keys
+
+    def listed(self, *columns: str) -> DataFrame:
+        """The hot groups, to be broadcast where they are small enough."""
+        found = self.groups.select(*columns) if columns else self.groups
+        return F.broadcast(found) if self.bytes + 16 * self.count <= BROADCAST_BYTES else found
 
 
-def hot_groups(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> HotGroups:
-    """Groups above the hot line, with their number and sizes; the list may be broadcast."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_rows"))
-    found = sizes.agg(F.max("group_rows").alias("most"), F.sum("group_rows").alias("all")).first()
-    line = hot_line(found["all"] or 0, hot_rows)
-    hot = sizes.where(F.col("group_rows") > line)
-    if (found["most"] or 0) <= line:
-        return HotGroups(hot, 0, 0, found["all"] or 0)
-    counted = hot.agg(F.count(F.lit(1)).alias("count"), F.sum("group_rows").alias("rows")).first()
-    return HotGroups(hot, counted["count"], counted["rows"], found["all"])
+def hot_groups(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS, weight: Column | None = None) -> HotGroups:
+    """Groups of more than ``hot_rows`` rows (or that much ``weight`` in all), their number and sizes."""
+    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    sizes = df.groupBy(*keys).agg(size.cast("long").alias("group_rows"))
+    large = F.col("group_rows") > hot_rows
+    length = sum((F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) for k in keys), F.lit(0))
+    found = sizes.agg(
+        F.count_if(large).alias("count"),
+        F.sum(F.when(large, F.col("group_rows"))).alias("rows"),
+        F.sum("group_rows").alias("all"),
+        F.sum(F.when(large, length)).alias("bytes"),
+    ).first()
+    return HotGroups(sizes.where(large), found["count"], found["rows"] or 0, found["all"] or 0, found["bytes"] or 0)
 
 
 def place(df: DataFrame, keys: list[str], rows: int, rows_per_task: int) -> DataFrame:
@@ -114,7 +126,7 @@ def ordered_chunks(
     hot = hot_groups(df, keys, hot_rows)
     if hot.count == 0:
         return df.withColumn("chunk", F.lit(0)), False
-    hot_keys = F.broadcast(hot.groups.select(*keys))
+    hot_keys = hot.listed(*keys)
     pieces = max(2, math.ceil(hot.rows / hot_rows))
     cut = (
         df.join(hot_keys, keys, "left_semi")

@@ -14,6 +14,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from paperlake.constants import COLLECTION_KEY, PAPER_KEY, TENANT
 from paperlake.operators.library import normalise_papers
@@ -39,8 +40,20 @@ def paper_id_of(doc_id: Column) -> Column:
     return F.concat(F.lit("24"), _padded(1 + doc_id % 12, 2), F.lit("."), _padded(doc_id, 5))
 
 
-# (application, data folder, table) -> folder of the written table
-_STORED: dict[tuple[str, str, str], str] = {}
+# (application, data folder, its files, table) -> folder and schema of the written table
+_STORED: dict[tuple[str, str, tuple, str], tuple[str, StructType]] = {}
+
+
+def files_of(spark: SparkSession, folder: str) -> tuple:
+    """Path, size and time of every file of a folder of tables, each a file or a folder of files."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = system.listFiles(path, True)
+    out = []
+    while found.hasNext():
+        status = found.next()
+        out.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return tuple(sorted(out))
 
 
 class Inputs:
@@ -51,20 +64,26 @@ class Inputs:
         self.folder = folder.rstrip("/")
 
     def _stored(self, name: str, build: Callable[[], DataFrame], *cluster: str) -> DataFrame:
-        """Table written on first use, clustered by the columns it is filtered by."""
-        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        """Table written on first use and again when a source file has changed, clustered by the
+        columns it is filtered by."""
+        key = (self.spark.sparkContext.applicationId, self.folder, self.sources, name)
         if key not in _STORED:
             path = run_folder(self.spark, name)
             rows = build()
             if cluster:
                 rows = rows.repartitionByRange(*cluster).sortWithinPartitions(*cluster)
             rows.write.parquet(path)
-            _STORED[key] = path
-        return self.spark.read.parquet(_STORED[key])
+            _STORED[key] = path, rows.schema
+        path, schema = _STORED[key]
+        return self.spark.read.schema(schema).parquet(path)
+
+    @cached_property
+    def sources(self) -> tuple:
+        return files_of(self.spark, self.folder)
 
     def prepare(self) -> None:
         """Write the stored tables."""
-        for table in (self.papers_raw, self.saved, self.collections, self.memberships):
+        for table in (self.papers_raw, self.bags, self.saved, self.collections, self.memberships):
             assert table.columns
 
     def table(self, name: str) -> DataFrame:
@@ -83,7 +102,8 @@ class Inputs:
     @cached_property
     def papers_raw(self) -> DataFrame:
         """Papers in the stored layout: even ids hold comma lists, odd ids JSON lists."""
-        return self._stored("papers", self._build_papers)
+        # one source file may be large: the stored table is read by many tasks
+        return self._stored("papers", lambda: self._build_papers().repartition("doc_id"))
 
     def _build_papers(self) -> DataFrame:
         part = self.table("part").select("p_partkey", "p_name")
@@ -128,7 +148,7 @@ class Inputs:
 
     @cached_property
     def bags(self) -> DataFrame:
-        return term_bags(self.papers, ["paper_id"])
+        return self._stored("bags", lambda: term_bags(self.papers, ["paper_id"]))
 
     # --- libraries ------------------------------------------------------------
 

@@ -25,7 +25,7 @@ from paperlake.operators import (
     similarity,
 )
 from paperlake.plans.inputs import Inputs, to_commands
-from paperlake.runtime import durable, run_folder
+from paperlake.runtime import run_folder
 from paperlake.sources import atom, schemas
 from paperlake.streaming import atom as atom_stream
 from paperlake.streaming import replay as replay_stream
@@ -406,30 +406,30 @@ def paper_details(i: Inputs) -> DataFrame:
 @_query
 def corpus_search(i: Inputs) -> DataFrame:
     """Every match, unranked."""
-    found = search.matching_papers(i.search_requests, durable(i.bags), i.papers)
+    found = search.matching_papers(i.search_requests, i.bags, i.papers)
     return found.select("request_id", "paper_id")
 
 
 @_query
 def corpus_search_sorted(i: Inputs) -> DataFrame:
-    found = search.search(i.search_requests, i.papers, durable(i.bags))
+    found = search.search(i.search_requests, i.papers, i.bags)
     return _flat(found.select("request_id", "sort_by", "sort_order", "rank", "paper_id", "relevance"))
 
 
 @_query
 def top_hit(i: Inputs) -> DataFrame:
-    return search.top_hits(i.search_requests, i.papers, durable(i.bags)).select("request_id", "paper_id")
+    return search.top_hits(i.search_requests, i.papers, i.bags).select("request_id", "paper_id")
 
 
 @_query
 def budgeted_results(i: Inputs) -> DataFrame:
-    found = search.search(i.search_requests.withColumn("max_results", F.lit(25)), i.papers, durable(i.bags))
+    found = search.search(i.search_requests.withColumn("max_results", F.lit(25)), i.papers, i.bags)
     return _flat(search.budgeted_listing(found, i.papers))
 
 
 @_query
 def select_options(i: Inputs) -> DataFrame:
-    found = search.search(i.search_requests, i.papers, durable(i.bags))
+    found = search.search(i.search_requests, i.papers, i.bags)
     return _flat(search.select_options(found, i.papers))
 
 
@@ -458,7 +458,7 @@ def idf(i: Inputs) -> DataFrame:
 
 @_query
 def tfidf_vectors(i: Inputs) -> DataFrame:
-    found = similarity.tfidf_vectors(durable(_counts(i)), i.documents.count())
+    found = similarity.tfidf_vectors(_counts(i), i.documents.count())
     return found.withColumn("weight", F.round("weight", 9))
 
 
