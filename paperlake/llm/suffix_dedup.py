@@ -51,20 +51,26 @@ class Shard:
         self.lengths = np.array([len(t) for t in texts], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.data = np.frombuffer(b"".join(texts), np.uint8)
-        self.hash = StretchHashes(self.data).hash
+        self.hashes = StretchHashes(self.data)
+        self.hash = self.hashes.hash
 
     def phrases(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Stretches from an anchor to the second next one: hash, start, stop, text."""
         n = len(self.data)
-        at = np.arange(n - GRAM + 1, dtype=np.int64)
-        low = (self.hash(at, GRAM) >> np.uint64(32) << np.uint64(32)) | (n - at).astype(np.uint64)
+        low = self.hashes.everywhere(GRAM)
+        low &= np.uint64(0xFFFFFFFF00000000)
+        low |= np.arange(n, GRAM - 1, -1, dtype=np.uint64)  # n - position: of equal ones the last is smaller
         width = 1
-        while width < SPREAD:  # smallest of the next 2, 4, ... positions; of equal ones the last
+        while width < SPREAD:  # smallest of the next 2, 4, ... positions
             low = np.minimum(low[: len(low) - width], low[width:])
             width *= 2
-        windows = ragged(self.starts, np.maximum(self.lengths - GRAM + 1 - SPREAD + 1, 0))
+        within = np.ones(len(low), bool)  # windows that do not reach into the next text
+        reach = GRAM + SPREAD - 2
+        ends = self.starts + self.lengths
+        across = ragged(ends - reach, np.full(len(ends), reach))
+        within[across[across < len(low)]] = False
         chosen = np.zeros(n, bool)
-        chosen[n - (low[windows] & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
+        chosen[n - (low[within] & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
         anchors = np.flatnonzero(chosen)
         text = np.searchsorted(self.starts, anchors, side="right") - 1
         whole = np.flatnonzero(text[2:] == text[:-2]) if len(anchors) > 2 else np.empty(0, np.int64)
@@ -76,21 +82,24 @@ class Shard:
         first = np.maximum(self.starts[text], stop - LENGTH)[repeated]
         last = np.minimum(start, self.starts[text] + self.lengths[text] - LENGTH)[repeated]
         fits = last >= first
-        marks = np.zeros(len(self.data) + 1, np.int32)
-        np.add.at(marks, first[fits], 1)
-        np.add.at(marks, last[fits] + 1, -1)
+        size = len(self.data) + 1
+        marks = np.bincount(first[fits], minlength=size) - np.bincount(last[fits] + 1, minlength=size)
         return np.flatnonzero(np.cumsum(marks[:-1]) > 0)
 
+    def covered(self, starts: np.ndarray) -> np.ndarray:
+        """Of every byte whether it is in one of the strings; no start comes twice."""
+        marks = np.zeros(len(self.data) + 1, np.int32)
+        marks[starts] += 1
+        marks[starts + LENGTH] -= 1
+        return np.cumsum(marks[:-1]) > 0
+
     def repeats_inside(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One start of every different string, and whether it starts twice in this shard."""
-        marks = np.zeros(len(self.data) + 1, np.int32)
-        np.add.at(marks, starts, 1)
-        np.add.at(marks, starts + LENGTH, -1)
-        place = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
+        place = np.flatnonzero(self.covered(starts))
         part = self.data[place]
         eight = words8(part)
         order = suffix_array(eight, 8, LENGTH)
-        shared = previous_common(part, order, eight)[order]
+        shared = previous_common(part, order, eight, LENGTH)[order]
         group = np.cumsum(shared < LENGTH)
         valid = np.zeros(len(self.data), bool)
         valid[starts] = True
@@ -220,10 +229,7 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame
         own = Shard(table)
         starts = _candidates(own, side, ranges)
         starts = starts[flags(side, 1, own.hash(starts, LENGTH), ranges)]
-        marks = np.zeros(len(own.data) + 1, np.int32)
-        np.add.at(marks, starts, 1)
-        np.add.at(marks, starts + LENGTH, -1)
-        gone = np.cumsum(marks[:-1]) > 0
+        gone = own.covered(starts)
         copies = {b for k, b in zip(side["kind"].to_pylist(), side["bits"].to_pylist(), strict=True) if k == 2}
         which = [i for i, k in enumerate(own.keys) if k not in copies]
         spans, kept = [], []

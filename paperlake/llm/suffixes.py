@@ -62,33 +62,35 @@ def words8(data: np.ndarray) -> np.ndarray:
     return keys
 
 
-def previous_common(data: np.ndarray, order: np.ndarray, eight: np.ndarray) -> np.ndarray:
+def previous_common(data: np.ndarray, order: np.ndarray, eight: np.ndarray, enough: int) -> np.ndarray:
     """Length of the prefix that every suffix shares with its predecessor in ``order``, by position.
 
     Kasai's bound in vector form: where a suffix and its predecessor both follow, by one symbol,
-    a suffix and its predecessor that share L > 0 symbols, they share L - 1. Only the first
-    suffix of such a run is compared, eight bytes a step. -1 for the first in order.
+    a suffix and its predecessor that begin alike, they share one symbol less. So along such a run
+    only the last suffix is compared, eight bytes a step and up to ``enough``: lengths of at least
+    that are only known to be so. -1 for the first in order.
     """
     n = len(data)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    runs = np.ones(n, bool)
     follows = (before[1:] == before[:-1] + 1) & (before[:-1] >= 0)
-    runs[1:] = ~follows | (data[:-1] != data[before[:-1]])
-    heads = np.flatnonzero(runs)
-    shared = np.zeros(len(heads), np.int64)
-    live = np.flatnonzero(before[heads] >= 0)
+    follows &= data[:-1] == data[before[:-1]]
+    tails = np.flatnonzero(np.append(~follows, True))
+    shared = np.zeros(len(tails), np.int64)
+    live = np.flatnonzero(before[tails] >= 0)
     while len(live):
-        a = heads[live] + shared[live]
-        b = before[heads[live]] + shared[live]
+        a = tails[live] + shared[live]
+        b = before[tails[live]] + shared[live]
         room = n - np.maximum(a, b)
         inside = room > 0
         differ = np.ones(len(live), np.uint64)
         differ[inside] = eight[a[inside]] ^ eight[b[inside]]
-        bits = 64 - np.ceil(np.log2(np.maximum(differ, 1).astype(np.float64) + 0.5)).astype(np.int64)
-        same = np.where(differ == 0, 8, np.clip(bits, 0, 63) // 8)
+        same = np.zeros(len(live), np.int64)  # bytes before the first that differs
+        for k in range(8):
+            same += (differ >> np.uint64(56 - 8 * k)) == 0
         same = np.where(inside, np.minimum(same, room), 0)
         shared[live] += same
-        live = live[(same == 8)]
-    out = np.repeat(shared, np.diff(np.append(heads, n))) - (np.arange(n) - np.repeat(heads, np.diff(np.append(heads, n))))
-    return np.where(before < 0, -1, np.maximum(out, 0))
+        live = live[(same == 8) & (shared[live] < enough)]
+    lengths = np.diff(tails, prepend=-1)
+    out = np.repeat(shared + tails, lengths) - np.arange(n)
+    return np.where(before < 0, -1, out)
