@@ -1,40 +1,46 @@
 """Feed landing folder kept in a corpus table, one row per paper id, first one wins.
 
-Like the replay job, a batch overwrites its own folder only and looks at earlier
-batches alone, so running it again changes nothing. The corpus remembers every id;
-a watermark would forget ids past its delay.
+Like the replay job, a batch overwrites its own folder only and looks at earlier batches alone, in
+the buckets of the ids it brings, so running it again changes nothing. The corpus remembers every
+id; a watermark would forget ids past its delay. ``compact`` folds batches into a base.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
 
 from paperlake.operators.mutations import first_rows
 from paperlake.sources.atom import XML_OPTIONS, papers_from_entries
 from paperlake.sources.schemas import ATOM_ENTRY, PAPER
+from paperlake.streaming.buckets import BatchTable, bucket_of
 
-CORPUS_SCHEMA = StructType([*PAPER.fields, StructField("batch", LongType())])
+def corpus(spark: SparkSession, path: str) -> BatchTable:
+    return BatchTable(spark, path, "corpus", PAPER, ["paper_id"])
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CORPUS_SCHEMA).parquet(f"{path.rstrip('/')}/corpus").drop("batch")
+    return corpus(spark, path).before().drop("batch")
 
 
 def add_batch(entries: DataFrame, path: str, batch_id: int) -> None:
     """Append the papers of one micro-batch whose id is new."""
-    spark = entries.sparkSession
-    folder = f"{path.rstrip('/')}/corpus"
+    own = corpus(entries.sparkSession, path)
+    if batch_id <= own.base():
+        return
     papers = papers_from_entries(entries)
     # entries of one batch have no order of their own; the earliest version comes first
     order = ["updated", "published", "arxiv_url", "title", "summary"]
     new = first_rows(papers, ["paper_id"], order)
-    if batch_id > 0:
-        known = spark.read.schema(CORPUS_SCHEMA).parquet(folder).where(F.col("batch") < batch_id)
-        new = new.join(known.select("paper_id"), "paper_id", "left_anti")
-    new.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+    buckets = sorted(r["b"] for r in papers.select(bucket_of(["paper_id"]).alias("b")).distinct().collect())  # BUCKETS at most
+    known = own.before(batch_id, buckets).select("paper_id")
+    own.put(new.join(known, "paper_id", "left_anti"), batch_id)
+
+
+def compact(spark: SparkSession, path: str, upto: int) -> None:
+    """Fold all batches up to ``upto`` into one base; run it between batches."""
+    own = corpus(spark, path)
+    own.fold(own.before(upto + 1).drop("batch"), upto)
 
 
 def start_ingest(

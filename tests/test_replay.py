@@ -92,13 +92,40 @@ def test_stream_equals_batch(spark, tmp_path):
     stream.start_replay(source, lambda df: df, path).awaitTermination()
     outcomes, library = fold(commands)
     assert as_map(stream.current_library(spark, path)) == library
-    done = spark.read.parquet(f"{path}/outcomes")
-    assert done.select("batch").distinct().count() == 3
-    assert {r.seq: r.outcome for r in done.collect()} == outcomes
+    assert {r.seq: r.outcome for r in stream.current_outcomes(spark, path).collect()} == outcomes
+    assert stream.table(spark, path, "log").before().select("batch").distinct().count() == 3
 
     # a batch that runs again after a failure changes nothing
     stream.apply_batch(spark.createDataFrame(commands[200:], SCHEMA), path, 2)
     assert as_map(stream.current_library(spark, path)) == library
 
-    stream.compact(spark, path, str(tmp_path / "compacted"), 2)
-    assert as_map(stream.current_library(spark, str(tmp_path / "compacted"))) == library
+
+def test_compacted_stream_goes_on_with_late_and_repeated_batches(spark, tmp_path):
+    """Commands arrive in any order, with a compaction on the way: state and outcomes are the fold's."""
+    commands, path = log(240), str(tmp_path / "out")
+    shuffled = random.Random(4).sample(commands, len(commands))
+    batches = [shuffled[k * 60 : (k + 1) * 60] for k in range(4)]
+    for k in (0, 1):
+        stream.apply_batch(spark.createDataFrame(batches[k], SCHEMA), path, k)
+    stream.compact(spark, path, 1)
+    stream.compact(spark, path, 1)
+    assert stream.table(spark, path, "log").base() == 1
+    stream.apply_batch(spark.createDataFrame(batches[1], SCHEMA), path, 1)  # the base has it
+    for k in (2, 3, 3):
+        stream.apply_batch(spark.createDataFrame(batches[k], SCHEMA), path, k)
+    outcomes, library = fold(sorted(commands, key=lambda c: (c[3], c[4])))
+    assert as_map(stream.current_library(spark, path)) == library
+    assert {r.seq: r.outcome for r in stream.current_outcomes(spark, path).collect()} == outcomes
+    stream.compact(spark, path, 3)
+    assert as_map(stream.current_library(spark, path)) == library
+
+
+def test_a_batch_reads_its_buckets_only(spark, tmp_path):
+    commands, path = log(120), str(tmp_path / "out")
+    stream.apply_batch(spark.createDataFrame(commands, SCHEMA), path, 0)
+    table = stream.table(spark, path, "log")
+    every = {f for f in table.before(1).inputFiles()}
+    some = next(iter(sorted(every))).split("bucket=")[1].split("/")[0]
+    read = table.before(1, [int(some)])
+    assert 0 < read.count() < len(commands)
+    assert "PartitionFilters: [isnotnull(bucket" in read._jdf.queryExecution().executedPlan().toString()
