@@ -32,6 +32,9 @@ LISTING_TEXT_BUDGET = 5900
 NO_ABSTRACT = "No abstract available."
 UNKNOWN = "Unknown"
 NO_CATEGORY = "N/A"
+PAGE_LABEL = "\U0001F4C4 arXiv"
+PDF_LABEL = "\U0001F4E5 PDF"
+LINK_GAP = "  •  "
 QUICK_SUMMARY_LIMIT = 500
 INLINE_LIMIT = 2000
 CITATION_FORMATS = ("bibtex", "plain", "markdown")

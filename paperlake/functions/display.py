@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from paperlake.constants import NO_ABSTRACT, UNKNOWN
+from paperlake.constants import LINK_GAP, NO_ABSTRACT, PAGE_LABEL, PDF_LABEL, UNKNOWN
 from paperlake.functions.lists import first_or, format_authors, format_categories
 from paperlake.functions.text import date_part, quick_summary, truncate
 
@@ -24,10 +24,10 @@ def row_fields(authors: int = 2, categories: int = 2) -> dict[str, Column]:
     }
 
 
-def links(link: str = "\U0001F4C4 arXiv", pdf: str = "\U0001F4E5 PDF") -> Column:
+def links(link: str = PAGE_LABEL, pdf: str = PDF_LABEL) -> Column:
     """Link line; the pdf part appears only where there is a pdf."""
     page = F.concat(F.lit(f"[{link}]("), _c("arxiv_url"), F.lit(")"))
-    tail = F.concat(F.lit(f"  •  [{pdf}]("), _c("pdf_url"), F.lit(")"))
+    tail = F.concat(F.lit(f"{LINK_GAP}[{pdf}]("), _c("pdf_url"), F.lit(")"))
     return F.concat(page, F.when(F.coalesce(_c("pdf_url"), F.lit("")) == "", F.lit("")).otherwise(tail))
 
 

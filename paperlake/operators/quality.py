@@ -18,6 +18,16 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
 
 
+def all_duplicate_keys(tables: dict[str, DataFrame]) -> DataFrame:
+    """Duplicates of every stored table's key: table, key (its parts as text, joined by a slash), rows."""
+    parts = []
+    for name, df in tables.items():
+        key = F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in KEYS[name]])
+        found = duplicate_keys(df, KEYS[name])
+        parts.append(found.select(F.lit(name).alias("table"), key.alias("key"), "rows"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def null_violations(df: DataFrame, schema: StructType, table: str) -> DataFrame:
     """NULLs per required column in one pass: table, column_name, violations."""
     required = [f.name for f in schema.fields if not f.nullable]

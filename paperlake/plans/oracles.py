@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from paperlake.constants import STOPWORDS
+from paperlake.constants import LINK_GAP, PAGE_LABEL, PDF_LABEL, STOPWORDS
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 _TENANT = "user_id, guild_id"
@@ -130,9 +130,9 @@ _TAGS = {"bibtex": "bibtex", "plain": "", "markdown": "md"}
 _EXT = {"bibtex": "bib", "plain": "txt", "markdown": "md"}
 
 _LINKS = (
-    "concat('[\U0001F4C4 arXiv](', arxiv_url, ')', "
-    "case when pdf_url = '' then '' else concat('  • [\U0001F4E5 PDF](', pdf_url, ')') end)"
-).replace("'  • [", "'  •  [")
+    f"concat('[{PAGE_LABEL}](', arxiv_url, ')', "
+    f"case when pdf_url = '' then '' else concat('{LINK_GAP}[{PDF_LABEL}](', pdf_url, ')') end)"
+)
 
 _ROW = (
     f"{_cut('title', 200)} as title_line, {_authors('authors', 2)} as authors_line, "
@@ -843,7 +843,14 @@ def oracle_sql() -> dict[str, str]:
 
     # data quality and layouts
     q["dup_keys"] = _sql(
-        f"select {_TENANT}, paper_id, count(*) as \"rows\" from landed group by all having count(*) > 1"
+        "select 'saved_papers' as \"table\", concat(user_id, '/', guild_id, '/', paper_id) as key, count(*) as \"rows\" "
+        "from landed group by user_id, guild_id, paper_id having count(*) > 1 union all "
+        "select 'collections', concat(user_id, '/', guild_id, '/', name), count(*) "
+        "from (select * from collections union all select * from collections where id % 2 = 0) "
+        "group by user_id, guild_id, name having count(*) > 1 union all "
+        "select 'collection_papers', concat(collection_id, '/', paper_id), count(*) "
+        "from (select * from memberships union all select * from memberships where collection_id % 2 = 0) "
+        "group by collection_id, paper_id having count(*) > 1"
     )
     q["null_violations"] = _sql(_null_counts())
     q["orphan_memberships"] = _sql(

@@ -608,7 +608,11 @@ def replay_library(i: Inputs) -> DataFrame:
 
 @_query
 def dup_keys(i: Inputs) -> DataFrame:
-    return quality.duplicate_keys(i.landed, PAPER_KEY)
+    """All three keys; collections with an even id land twice, with their memberships."""
+    even = F.pmod("collection_id", F.lit(2)) == 0
+    made = i.collections.unionByName(i.collections.where(F.pmod("id", F.lit(2)) == 0))
+    held = i.memberships.unionByName(i.memberships.where(even))
+    return quality.all_duplicate_keys({"saved_papers": i.landed, "collections": made, "collection_papers": held})
 
 
 @_query

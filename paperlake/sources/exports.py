@@ -42,3 +42,14 @@ def write_citation_files(payloads: DataFrame, path: str) -> None:
         .write.partitionBy("file_name")
         .text(path)
     )
+
+
+def write_packed(lines: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
+    """Export lines of all files in few Parquet files, ``file_name`` and tenant as columns.
+
+    For very many tenants or papers, where a folder per file would be a burden to the store. Rows
+    are ordered by file and position, so a reader takes one file's lines from neighbouring rows.
+    """
+    order = [c for c in ("user_id", "guild_id", "file_name", "position") if c in lines.columns]
+    rows = lines.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows.write.option("maxRecordsPerFile", rows_per_file).parquet(path)

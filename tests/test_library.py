@@ -116,7 +116,7 @@ def test_counts(spark, saved, named, rows):
     assert (one.total, one.to_read, one.reading, one.done, one.collections_count) == (3, 1, 1, 1, 2)
     assert [tuple(c) for c in one.top_categories] == [("cs.AI", 3), ("cs.CL", 1)]
     only_named = stats[("u3", "")]
-    assert (only_named.total, only_named.collections_count, only_named.top_categories) == (0, 1, None)
+    assert (only_named.total, only_named.collections_count, only_named.top_categories) == (0, 1, [])
 
 
 @pytest.mark.parametrize("hot_rows", [1_000_000, 3])
@@ -167,6 +167,28 @@ def test_export_routing_and_files(spark, saved, named, members, tmp_path):
     assert "".join(open(p).read() for p in parts) == joined + "\n"
 
 
+def test_citation_files_and_packed_lines(spark, saved, named, members, tmp_path):
+    payloads = spark.createDataFrame(
+        [("file", "long text\nof two lines", "p1.bib"), ("inline", "short", "p2.bib")], "delivery string, citation string, file_name string"
+    )
+    exports.write_citation_files(payloads, str(tmp_path / "cited"))
+    folders = glob.glob(str(tmp_path / "cited/*/*.txt"))
+    assert len(folders) == 1 and "file_name=p1.bib" in folders[0]
+    assert open(folders[0]).read() == "long text\nof two lines\n"
+
+    cited = collections.citations(collections.papers(members, saved), named, "plain")
+    lines = collections.export_lines(cited)
+    exports.write_packed(lines, str(tmp_path / "packed"))
+    back = spark.read.parquet(str(tmp_path / "packed"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, lines.collect()))
+
+
+def test_top_categories_of_a_tenant_with_collections_only(spark, saved, named):
+    lonely = spark.createDataFrame([(99, "nobody", "g", "mine")], "id long, user_id string, guild_id string, name string")
+    got = library.stats(saved, named.select("id", "user_id", "guild_id", "name").unionByName(lonely)).where("user_id = 'nobody'").first()
+    assert got.top_categories == [] and got.collections_count == 1
+
+
 def test_export_of_a_long_collection_is_a_file(spark, named):
     contents = spark.range(40).select(
         F.lit(1).cast("long").alias("collection_id"), F.lit("u1").alias("user_id"), F.lit("g1").alias("guild_id"),
