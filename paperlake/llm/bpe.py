@@ -31,8 +31,8 @@ from tokenizers import Tokenizer
 
 from paperlake.llm.frames import LOWER, partitions_for, ragged, texts_of
 
-#: Words of a shard are held in memory, about 10 bytes of it for each byte of text.
-SHARD_BYTES = 32 << 20
+#: A shard is held in memory, about 10 bytes of it for each byte of text.
+SHARD_BYTES = 10 << 20
 #: Letters and digits, and the ASCII marks (not the apostrophe) that never join them in a piece.
 _INNER, _MARK = "0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "\x00-\x08\x0e-\x1f!-&(-/:-@\\[-`{-\x7f"
 _CUT = re.compile(f"(?<=[{_INNER}])(?=[{_MARK}])|(?<=[{_MARK}])(?=[{_INNER}])")
@@ -194,8 +194,12 @@ def encode_decode(docs: DataFrame, path: str, shard_bytes: int = SHARD_BYTES) ->
     shared = spark.sparkContext.broadcast(definition)
     pieces = spark.sparkContext.broadcast([(tokenizer.id_to_token(i) or "").encode() for i in range(tokenizer.get_vocab_size())])
 
+    built: list[Tokenizer] = []  # one in every task
+
     def encode(table: pa.Table) -> pa.Table:
-        own = tokenizer_of(shared.value)
+        if not built:
+            built.append(tokenizer_of(shared.value))
+        own = built[0]
         lists = [w.split(b"\n") for w in table["words"].to_pylist()]
         distinct = list(dict.fromkeys(w for words in lists for w in words))
         found: dict[bytes, list[int]] = {}
