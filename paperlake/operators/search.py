@@ -8,6 +8,8 @@ to the paper over the whole corpus.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +24,6 @@ from paperlake.functions.display import search_line, select_option
 from paperlake.functions.text import strip, tokens, truncate
 from paperlake.operators.similarity import inverse_frequencies
 from paperlake.operators.skew import HOT_ROWS, salted_lookup
-from paperlake.runtime import durable
 
 RELEVANCE_DECIMALS = 6
 
@@ -66,24 +67,36 @@ def _order_columns() -> list:
     ]
 
 
-def matching_papers(requests: DataFrame, bags: DataFrame, papers: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """All papers a text query matches: request columns, paper_id, relevance, dates.
+class SearchIndex(NamedTuple):
+    """What all search batches share; ``stored`` it by writing its tables and reading them back."""
 
-    ``bags`` is read three times; pass a stored table where building it is not free.
-    """
-    asked = _normalised(requests).where(F.size("terms") > 0)
+    frequencies: DataFrame  # term, df, w2
+    documents: DataFrame  # paper_id, norm2
+    size: int
+
+
+def search_index(bags: DataFrame, documents: int, hot_rows: int = HOT_ROWS) -> SearchIndex:
+    """Term weights and document norms of a corpus of ``documents`` papers."""
     terms = bags.select("paper_id", F.inline("bag"))
-    documents = papers.count()
-    frequencies = inverse_frequencies(terms, documents, []).select(
-        "term", "df", F.pow("idf", F.lit(2.0)).alias("w2")
-    )
-    if documents > hot_rows:
-        frequencies = durable(frequencies)
+    frequencies = inverse_frequencies(terms, documents, []).select("term", "df", F.pow("idf", F.lit(2.0)).alias("w2"))
     norms = (
         salted_lookup(terms, frequencies, ["term"], "df", ["paper_id"], most=documents, hot_rows=hot_rows)
         .groupBy("paper_id")
         .agg(F.sum(F.col("tf") * F.col("tf") * F.col("w2")).alias("norm2"))
     )
+    return SearchIndex(frequencies, norms, documents)
+
+
+def matching_papers(
+    requests: DataFrame, bags: DataFrame, papers: DataFrame, index: SearchIndex | None = None, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """All papers a text query matches: request columns, paper_id, relevance, dates.
+
+    ``index`` spares each batch the counts over the whole corpus; without one it is made here.
+    """
+    asked = _normalised(requests).where(F.size("terms") > 0)
+    terms = bags.select("paper_id", F.inline("bag"))
+    frequencies, norms, documents = index or search_index(bags, papers.count(), hot_rows)
     # All request columns ride along with the terms: joining them to the hits later
     # would gather every hit of one request under one key.
     fields = [c for c in asked.columns if c != "terms"]
@@ -139,19 +152,19 @@ def _ranked(matches: DataFrame) -> DataFrame:
 def _without_terms(requests: DataFrame, papers: DataFrame) -> DataFrame:
     """Requests without query terms: the head of the corpus, or of one category, in their order.
 
-    The heads are taken once per scope and order, so no request is paired with the corpus.
+    The heads of every category in each of the six orders come first. Every partition keeps its best
+    rows per head, so no category, and not the corpus as a whole, is shuffled.
     """
     asked = _normalised(requests).where(F.size("terms") == 0).drop("terms")
-    # every category in every order asked of it (six orders exist); '' stands for the whole corpus
-    modes = asked.select("category", "sort_by", "sort_order").distinct()
+    modes = [F.struct(F.lit(by).alias("sort_by"), F.lit(order).alias("sort_order")) for by in SORT_BY for order in SORT_ORDER]
+    # '' stands for the whole corpus
     scoped = papers.select(
         "paper_id", "published", "updated", F.lit(0.0).alias("relevance"),
         F.explode(F.array_union(F.array(F.lit("")), F.col("categories"))).alias("category"),
-    )
+    ).select("*", F.inline(F.array(*modes)))
     head = Window.partitionBy("category", "sort_by", "sort_order").orderBy(*_order_columns())
     heads = (
-        scoped.join(modes, "category")
-        .withColumn("_position", F.row_number().over(head))
+        scoped.withColumn("_position", F.row_number().over(head))
         .where(F.col("_position") <= SEARCH_MAX_RESULTS)
         .drop("_position")
     )
@@ -161,19 +174,21 @@ def _without_terms(requests: DataFrame, papers: DataFrame) -> DataFrame:
     )
 
 
-def search(requests: DataFrame, papers: DataFrame, bags: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def search(
+    requests: DataFrame, papers: DataFrame, bags: DataFrame, index: SearchIndex | None = None, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Ranked results per request: request columns, paper_id, relevance, rank."""
-    matches = matching_papers(requests, bags, papers, hot_rows)
+    matches = matching_papers(requests, bags, papers, index, hot_rows)
     return _ranked(matches.unionByName(_without_terms(requests, papers)))
 
 
-def top_hits(requests: DataFrame, papers: DataFrame, bags: DataFrame) -> DataFrame:
+def top_hits(requests: DataFrame, papers: DataFrame, bags: DataFrame, index: SearchIndex | None = None) -> DataFrame:
     """Best result per request under the default order."""
     one = requests.select(
         "request_id", "query", "category",
         F.lit(SORT_BY[0]).alias("sort_by"), F.lit(SORT_ORDER[0]).alias("sort_order"), F.lit(1).alias("max_results"),
     )
-    return search(one, papers, bags)
+    return search(one, papers, bags, index)
 
 
 def budgeted_listing(results: DataFrame, papers: DataFrame) -> DataFrame:

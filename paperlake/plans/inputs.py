@@ -19,6 +19,7 @@ from pyspark.sql.types import StructType
 from paperlake.constants import COLLECTION_KEY, PAPER_KEY, TENANT
 from paperlake.operators.library import normalise_papers
 from paperlake.operators.mutations import add_to_collection, first_rows, new_memberships
+from paperlake.operators.search import SearchIndex, search_index
 from paperlake.operators.similarity import term_bags
 from paperlake.runtime import run_folder
 
@@ -85,6 +86,7 @@ class Inputs:
         """Write the stored tables."""
         for table in (self.papers_raw, self.bags, self.saved, self.collections, self.memberships):
             assert table.columns
+        assert self.search_index.size >= 0
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -150,6 +152,16 @@ class Inputs:
     def bags(self) -> DataFrame:
         return self._stored("bags", lambda: term_bags(self.papers, ["paper_id"]))
 
+    @cached_property
+    def search_index(self) -> SearchIndex:
+        """Stored term weights and norms of the corpus."""
+        built = search_index(self.bags, self.papers_raw.count())
+        return SearchIndex(
+            self._stored("search_terms", lambda: built.frequencies),
+            self._stored("search_documents", lambda: built.documents),
+            built.size,
+        )
+
     # --- libraries ------------------------------------------------------------
 
     @cached_property

@@ -83,7 +83,7 @@ def run_search(spark, corpus, requests, hot_rows=1_000_000):
     asked = spark.createDataFrame(
         requests, "request_id string, query string, category string, sort_by string, sort_order string, max_results int"
     )
-    found = search.search(asked, corpus, term_bags(corpus, ["paper_id"]), hot_rows)
+    found = search.search(asked, corpus, term_bags(corpus, ["paper_id"]), hot_rows=hot_rows)
     out = {}
     for r in found.orderBy("request_id", "rank").collect():
         out.setdefault(r.request_id, []).append(r.paper_id)
