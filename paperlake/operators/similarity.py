@@ -4,9 +4,16 @@ A *bag* is a paper's ``array<struct<term, tf>>``, computed once per distinct pap
 table and joined to the libraries that hold it, so a text saved by many tenants is tokenised
 once. Each library is its own corpus: ``df`` and ``n`` are counted inside the tenant.
 
-One plan serves libraries of any size: terms are joined by (tenant, term), aggregates combine
-before they are shuffled, and a term that many papers or many targets share is dealt to a grid
-(``skew.salted_lookup``). No task holds a library, a term's papers or a target's candidates.
+Two exact plans compute the scores. What a tenant costs is its term rows times its targets:
+
+* up to ``COLOCATE_WORK``, a constant: one shuffle of the compact bags by tenant, then term counts,
+  norms and dot products as windows and aggregates on that placement;
+* above: terms are joined by (tenant, term), aggregates combine before they are shuffled, and a term
+  that many papers or many targets share is dealt to a grid (``skew.salted_lookup``), so that
+  no task holds a library, a term's papers or a target's candidates. The library's frequencies and
+  norms are made once, however many targets are asked for.
+
+The split is made by one job over the sizes of the bags when a plan is built.
 """
 
 from __future__ import annotations
@@ -16,9 +23,11 @@ from pyspark.sql import functions as F
 
 from paperlake.constants import RELATED_TOP_K, SCORE_DECIMALS, TENANT
 from paperlake.functions.text import paper_text, strip, tokens
-from paperlake.operators.skew import HOT_ROWS, salted_lookup
+from paperlake.operators.skew import HOT_ROWS, HotGroups, hot_groups, place, salted_lookup
 
 TERM_KEY = [*TENANT, "term"]
+#: Term rows times targets of a tenant that one task may handle.
+COLOCATE_WORK = 5_000_000
 
 
 def term_counts(papers: DataFrame, keys: list[str]) -> DataFrame:
@@ -87,6 +96,26 @@ def library_sizes(library: DataFrame) -> DataFrame:
     return library.groupBy(*TENANT).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _by_work(members: DataFrame, wanted: DataFrame, bags: DataFrame, bag_keys: list[str], most: int) -> HotGroups:
+    """Tenants whose term rows times targets are more than ``most``."""
+    sizes = bags.select(*bag_keys, F.size("bag").alias("_terms"))
+    asked = wanted.groupBy(*TENANT).agg((F.count(F.lit(1)) + 1).alias("_targets"))
+    held = members.select(*dict.fromkeys([*TENANT, "paper_id", *bag_keys])).join(sizes, bag_keys)
+    return hot_groups(held.groupBy(*TENANT).agg(F.sum("_terms").alias("_terms")).join(asked, TENANT), TENANT, most, F.col("_terms") * F.col("_targets"))
+
+
+def _parted(df: DataFrame, hot: HotGroups) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ordinary and of large tenants."""
+    if hot.count == 0:
+        return df, None
+    listed = hot.listed(*TENANT)
+    return df.join(listed, TENANT, "left_anti"), df.join(listed, TENANT, "left_semi")
+
+
+def _both(small: DataFrame, large: DataFrame | None) -> DataFrame:
+    return small if large is None else small.unionByName(large)
+
+
 def _of_tenants(library: DataFrame, asked: DataFrame) -> DataFrame:
     return library.join(asked.select(*TENANT).distinct(), TENANT, "left_semi")
 
@@ -105,17 +134,43 @@ def _norms(terms: DataFrame, frequencies: DataFrame, hot_rows: int) -> DataFrame
     )
 
 
-def cosine_pairs(
-    pairs: DataFrame, library: DataFrame, bags: DataFrame, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Score given pairs user_id, guild_id, paper_a, paper_b; no shared term means 0.
+def _pair_sums(weighted: DataFrame, keys: list[str]) -> DataFrame:
+    """Cosine per pair from rows of pair, side, term, w."""
+    pair = [*keys, "paper_a", "paper_b"]
+    w_a = F.sum(F.when(F.col("side") == "a", F.col("w")))
+    w_b = F.sum(F.when(F.col("side") == "b", F.col("w")))
+    return (
+        weighted.groupBy(*pair, "term")
+        .agg(w_a.alias("w_a"), w_b.alias("w_b"))
+        .groupBy(*pair)
+        .agg(
+            F.sum(F.col("w_a") * F.col("w_b")).alias("dot"),
+            F.sqrt(F.sum(F.col("w_a") * F.col("w_a"))).alias("norm_a"),
+            F.sqrt(F.sum(F.col("w_b") * F.col("w_b"))).alias("norm_b"),
+        )
+        .select(*pair, (F.col("dot") / (F.col("norm_a") * F.col("norm_b"))).alias("score"))
+    )
 
-    Weights and norms are made once per paper of a tenant, however many pairs it is in. The
-    document length cancels in the cosine, so tf times idf is enough. A paper that is not saved
-    is weighed by the library's frequencies.
-    """
-    wanted = pairs.select(*TENANT, "paper_a", "paper_b").distinct()
-    members = _of_tenants(library, wanted)
+
+def _pairs_colocated(wanted: DataFrame, members: DataFrame, bags: DataFrame, work: int) -> DataFrame:
+    """Tenants of bounded work: bags of members and of both papers of every pair meet by tenant."""
+    none = F.lit(None).cast("string")
+    rows = members.select(*TENANT, "paper_id", none.alias("paper_a"), none.alias("paper_b"), none.alias("side"))
+    for side in ("a", "b"):
+        asked = wanted.select(*TENANT, F.col(f"paper_{side}").alias("paper_id"), "paper_a", "paper_b", F.lit(side).alias("side"))
+        rows = rows.unionByName(asked)
+    is_member = F.col("side").isNull()
+    placed = place(rows.join(bags, "paper_id", "left"), TENANT, work, COLOCATE_WORK).withColumn(
+        "n", F.count_if(is_member).over(Window.partitionBy(*TENANT))
+    )
+    df = F.count_if(is_member).over(Window.partitionBy(*TERM_KEY))
+    terms = placed.select(*TENANT, "paper_a", "paper_b", "side", "n", F.inline("bag"))
+    weighted = terms.withColumn("w", F.col("tf") * idf(F.col("n"), df)).where(F.col("side").isNotNull())
+    return _pair_sums(weighted, TENANT)
+
+
+def _pairs_by_term(wanted: DataFrame, members: DataFrame, bags: DataFrame, hot_rows: int) -> DataFrame:
+    """Tenants of any size: weights and norms once per paper, however many pairs it is in."""
     sizes = library_sizes(members)
     frequencies = document_frequencies(library_terms(members, bags, ["paper_id"]), TENANT)
     sides = [wanted.select(*TENANT, F.col(f"paper_{x}").alias("paper_id")) for x in ("a", "b")]
@@ -138,7 +193,29 @@ def cosine_pairs(
         .agg(F.sum(F.col("w_a") * F.col("w_b")).alias("dot"))
     )
     scored = dots.join(of(norms, "a"), [*TENANT, "paper_a"]).join(of(norms, "b"), [*TENANT, "paper_b"])
-    score = scored.select(*TENANT, "paper_a", "paper_b", (F.col("dot") / (F.col("norm_a") * F.col("norm_b"))).alias("score"))
+    return scored.select(*TENANT, "paper_a", "paper_b", (F.col("dot") / (F.col("norm_a") * F.col("norm_b"))).alias("score"))
+
+
+def cosine_pairs(
+    pairs: DataFrame,
+    library: DataFrame,
+    bags: DataFrame,
+    colocate_work: int = COLOCATE_WORK,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Score given pairs user_id, guild_id, paper_a, paper_b; no shared term means 0.
+
+    The document length cancels in the cosine, so tf times idf is enough. A paper that is not
+    saved is weighed by the library's frequencies.
+    """
+    wanted = pairs.select(*TENANT, "paper_a", "paper_b").distinct()
+    members = _of_tenants(library, wanted)
+    hot = _by_work(members, wanted, bags, ["paper_id"], colocate_work)
+    (near, far), (asked, asked_far) = _parted(members, hot), _parted(wanted, hot)
+    score = _both(
+        _pairs_colocated(asked, near, bags, hot.all_rows),
+        None if far is None else _pairs_by_term(asked_far, far, bags, hot_rows),
+    )
     return wanted.join(score, [*TENANT, "paper_a", "paper_b"], "left").withColumn(
         "score", F.coalesce(F.col("score"), F.lit(0.0))
     )
@@ -159,23 +236,45 @@ def _wanted(requests: DataFrame) -> DataFrame:
     return requests.select(*TENANT, strip(F.col("paper_id")).alias("target_id")).distinct()
 
 
-def related_papers(
-    requests: DataFrame,
-    library: DataFrame,
-    bags: DataFrame,
-    bag_keys: list[str] | None = None,
-    top_k: int = RELATED_TOP_K,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Most similar papers of the same library for each requested saved paper.
+def _related_colocated(members: DataFrame, keys: list[str], top_k: int, work: int) -> DataFrame:
+    """Small groups. ``members``: keys, paper_id, is_target, bag (NULL without terms)."""
+    placed = (
+        place(members, keys, work, COLOCATE_WORK)
+        .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+        .where("n > 1")  # a single paper has no candidates
+    )
+    terms = placed.select(*keys, "paper_id", "is_target", "n", F.inline("bag"))
+    same_term = Window.partitionBy(*keys, "term")
+    target_tf = F.when(F.col("is_target"), F.struct(F.col("paper_id").alias("target_id"), F.col("tf")))
+    weighted = terms.select(
+        *keys,
+        "paper_id",
+        "tf",
+        F.pow(idf(F.col("n"), F.count(F.lit(1)).over(same_term)), F.lit(2.0)).alias("w2"),
+        F.collect_list(target_tf).over(same_term).alias("targets"),
+    )
+    # The entry without a target carries the paper's own norm through the same aggregate.
+    no_target = F.struct(F.lit(None).cast("string").alias("target_id"), F.col("tf"))
+    products = weighted.select(
+        *keys, "paper_id", "tf", "w2", F.explode(F.concat(F.array(no_target), F.col("targets"))).alias("q")
+    )
+    sums = products.groupBy(*keys, "paper_id", F.col("q.target_id").alias("target_id")).agg(
+        F.sum(F.col("tf") * F.col("q.tf") * F.col("w2")).alias("dot")
+    )
+    own = F.max(F.when(F.col("target_id").isNull(), F.col("dot")))
+    of_target = F.max(F.when(F.col("target_id") == F.col("paper_id"), F.col("dot")))
+    scored = (
+        sums.withColumn("norm2", own.over(Window.partitionBy(*keys, "paper_id")))
+        .where(F.col("target_id").isNotNull())
+        .withColumn("target_norm2", of_target.over(Window.partitionBy(*keys, "target_id")))
+        .where(F.col("paper_id") != F.col("target_id"))
+    )
+    return _top(scored, keys, top_k)
 
-    ``requests`` and ``library``: user_id, guild_id, paper_id. ``bags``: term bags by
-    ``bag_keys`` (default paper_id). Only libraries with a request are touched;
-    targets that are not saved give no rows. Ties go to the smaller paper_id.
-    """
-    wanted = _wanted(requests)
-    members = _of_tenants(library, wanted)
-    terms = library_terms(members, bags, bag_keys or ["paper_id"])
+
+def _related_by_term(wanted: DataFrame, members: DataFrame, bags: DataFrame, bag_keys: list[str], top_k: int, hot_rows: int) -> DataFrame:
+    """Tenants of any size."""
+    terms = library_terms(members, bags, bag_keys)
     frequencies = inverse_frequencies(terms, library_sizes(members), TENANT)
     norms = _norms(terms, frequencies, hot_rows)
     # a target's norm goes with its terms: joined later it would gather all candidates of a target
@@ -194,38 +293,67 @@ def related_papers(
     return _top(dots.join(norms, [*TENANT, "paper_id"]), TENANT, top_k)
 
 
-def related_external(
+def related_papers(
     requests: DataFrame,
     library: DataFrame,
     bags: DataFrame,
+    bag_keys: list[str] | None = None,
     top_k: int = RELATED_TOP_K,
+    colocate_work: int = COLOCATE_WORK,
     hot_rows: int = HOT_ROWS,
-    targets: DataFrame | None = None,
-    bag_keys: list[str] | None = None,
 ) -> DataFrame:
-    """Like ``related_papers`` for a target that is not, or not in this version, in the library.
+    """Most similar papers of the same library for each requested saved paper.
 
-    Per request the corpus is the library without that id, plus the target. ``targets``
-    (user_id, guild_id, paper_id, bag) gives a target's own, say fresher, text; by default it is the
-    bag of its id. ``bags`` by ``bag_keys`` are what the libraries hold, so stored copies stay as they are.
+    ``requests`` and ``library``: user_id, guild_id, paper_id. ``bags``: term bags by
+    ``bag_keys`` (default paper_id). Only libraries with a request are touched;
+    targets that are not saved give no rows. Ties go to the smaller paper_id.
+    """
+    bag_keys = bag_keys or ["paper_id"]
+    wanted = _wanted(requests)
+    members = _of_tenants(library, wanted)
+    hot = _by_work(members, wanted, bags, bag_keys, colocate_work)
+    (near, far), (asked, asked_far) = _parted(members, hot), _parted(wanted, hot)
+    targets = asked.select(*TENANT, F.col("target_id").alias("paper_id"), F.lit(True).alias("is_target"))
+    marked = (
+        near.select(*dict.fromkeys([*TENANT, "paper_id", *bag_keys]))
+        .join(targets, [*TENANT, "paper_id"], "left")
+        .withColumn("is_target", F.coalesce(F.col("is_target"), F.lit(False)))
+    )
+    return _both(
+        _related_colocated(marked.join(bags, bag_keys, "left"), TENANT, top_k, hot.all_rows),
+        None if far is None else _related_by_term(asked_far, far, bags, bag_keys, top_k, hot_rows),
+    )
+
+
+def _external_colocated(fresh: DataFrame, members: DataFrame, bags: DataFrame, bag_keys: list[str], top_k: int, work: int) -> DataFrame:
+    """Tenants of bounded work: every request is a group of its own, the library and its target."""
+    keys = [*TENANT, "request_id"]
+    wanted = fresh.select(*TENANT, F.col("target_id").alias("request_id"))
+    held = members.select(*dict.fromkeys([*TENANT, "paper_id", *bag_keys])).join(bags, bag_keys, "left")
+    candidates = (
+        wanted.join(held, TENANT)
+        .where(F.col("paper_id") != F.col("request_id"))
+        .select(*keys, "paper_id", F.lit(False).alias("is_target"), "bag")
+    )
+    targets = fresh.select(*TENANT, F.col("target_id").alias("request_id"), F.col("target_id").alias("paper_id"), F.lit(True).alias("is_target"), "bag")
+    return _related_colocated(candidates.unionByName(targets), keys, top_k, work).drop("request_id")
+
+
+def _external_by_term(
+    wanted: DataFrame, fresh: DataFrame, members: DataFrame, bags: DataFrame, bag_keys: list[str], top_k: int, hot_rows: int
+) -> DataFrame:
+    """Tenants of any size.
 
     The library's frequencies and norms are made once, not per request: another corpus size shifts all
     idf by one number, which the sums tf2 and tf2_idf turn into norms, and only terms of the target or of its
     stored copy need a correction. Work follows the postings of those terms.
     """
     request = [*TENANT, "target_id"]
-    wanted = _wanted(requests)
-    members = _of_tenants(library, wanted)
-    terms = library_terms(members, bags, bag_keys or ["paper_id"])
+    terms = library_terms(members, bags, bag_keys)
     sizes = library_sizes(members)
     frequencies = inverse_frequencies(terms, sizes, TENANT)
     norms = _norms(terms, frequencies, hot_rows)
 
-    if targets is None:
-        bag_of = bags.select(F.col("paper_id").alias("target_id"), "bag")
-        fresh = wanted.join(bag_of, "target_id")
-    else:
-        fresh = wanted.join(targets.select(*TENANT, strip(F.col("paper_id")).alias("target_id"), "bag"), request)
     fresh = fresh.select(*request, F.inline("bag")).withColumnRenamed("tf", "target_tf")
     copy = wanted.join(terms.withColumnRenamed("paper_id", "target_id"), request).select(*request, "term", F.lit(1).alias("stored"))
     saved = members.select(*TENANT, F.col("paper_id").alias("target_id"), F.lit(1).alias("held"))
@@ -270,6 +398,38 @@ def related_external(
     return _top(sums.join(norms, [*TENANT, "paper_id"]).withColumn("norm2", shifted), TENANT, top_k)
 
 
+def related_external(
+    requests: DataFrame,
+    library: DataFrame,
+    bags: DataFrame,
+    top_k: int = RELATED_TOP_K,
+    colocate_work: int = COLOCATE_WORK,
+    hot_rows: int = HOT_ROWS,
+    targets: DataFrame | None = None,
+    bag_keys: list[str] | None = None,
+) -> DataFrame:
+    """Like ``related_papers`` for a target that is not, or not in this version, in the library.
+
+    Per request the corpus is the library without that id, plus the target. ``targets``
+    (user_id, guild_id, paper_id, bag) gives a target's own, say fresher, text; by default it is the
+    bag of its id. ``bags`` by ``bag_keys`` are what the libraries hold, so stored copies stay as they are.
+    """
+    bag_keys = bag_keys or ["paper_id"]
+    wanted = _wanted(requests)
+    members = _of_tenants(library, wanted)
+    if targets is None:
+        fresh = wanted.join(bags.select(F.col("paper_id").alias("target_id"), "bag"), "target_id", "left")
+    else:
+        given = targets.select(*TENANT, strip(F.col("paper_id")).alias("target_id"), "bag")
+        fresh = wanted.join(given, [*TENANT, "target_id"], "left")
+    hot = _by_work(members, wanted, bags, bag_keys, colocate_work)
+    (near, far), (asked, asked_far), (new, new_far) = (_parted(x, hot) for x in (members, wanted, fresh))
+    return _both(
+        _external_colocated(new, near, bags, bag_keys, top_k, hot.all_rows),
+        None if far is None else _external_by_term(asked_far, new_far, far, bags, bag_keys, top_k, hot_rows),
+    )
+
+
 def related_states(requests: DataFrame, library: DataFrame, related: DataFrame) -> DataFrame:
     """Outcome per request: not_saved, too_few, none_similar or ok."""
     wanted = requests.select(*TENANT, strip(F.col("paper_id")).alias("paper_id")).distinct()
