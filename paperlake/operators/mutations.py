@@ -44,12 +44,9 @@ def first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def _known_key(requests: DataFrame, keys: list[str], table: DataFrame, hot_rows: int) -> DataFrame:
     """Add ``known``: does the request's key occur in ``table``?"""
-    touched = (
-        requests.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("requests"))
-        .join(table.select(*keys, F.lit(True).alias("known")), keys, "left")
-    )
-    found = salted_lookup(requests, touched, keys, "requests", ["seq"], "left", hot_rows=hot_rows)
+    owners = requests.groupBy(*keys).agg(F.count(F.lit(1)).alias("requests"))
+    touched = owners.join(table.select(*keys, F.lit(True).alias("known")), keys, "left")
+    found = salted_lookup(requests, touched, keys, "requests", ["seq"], "left", hot_rows=hot_rows, owners=owners)
     return found.withColumn("known", F.coalesce(F.col("known"), F.lit(False))).drop("requests")
 
 
@@ -132,9 +129,9 @@ def add_to_collection(
     """
     key = [*COLLECTION_KEY, "paper_id"]
     asked = _clean_membership_requests(requests).select("seq", "requested_at", *key)
+    owners = first_requests(asked, key)
     resolved = (
-        first_requests(asked, key)
-        .withColumnRenamed("seq", "first_seq")
+        owners.withColumnRenamed("seq", "first_seq")
         .join(collections.select(F.col("id").alias("collection_id"), *COLLECTION_KEY), COLLECTION_KEY, "left")
         .join(saved.select(*PAPER_KEY, F.lit(True).alias("_saved")), PAPER_KEY, "left")
     )
@@ -153,7 +150,7 @@ def add_to_collection(
         .when(F.col("_member"), "duplicate")
         .alias("_fixed"),
     )
-    return salted_lookup(asked, resolved, key, "requests", ["seq"], hot_rows=hot_rows).select(
+    return salted_lookup(asked, resolved, key, "requests", ["seq"], hot_rows=hot_rows, owners=owners).select(
         "seq",
         "requested_at",
         *key,
@@ -179,14 +176,14 @@ def remove_from_collection(
     """
     key = [*COLLECTION_KEY, "paper_id"]
     asked = _clean_membership_requests(requests).select("seq", "requested_at", *key)
+    owners = first_requests(asked, key)
     resolved = (
-        first_requests(asked, key)
-        .withColumnRenamed("seq", "first_seq")
+        owners.withColumnRenamed("seq", "first_seq")
         .join(collections.select(F.col("id").alias("collection_id"), *COLLECTION_KEY), COLLECTION_KEY, "left")
         .join(memberships.select(*MEMBERSHIP_KEY, F.lit(True).alias("_member")), MEMBERSHIP_KEY, "left")
     )
     removed = F.col("_member") & (F.col("seq") == F.col("first_seq"))
-    outcomes = salted_lookup(asked, resolved, key, "requests", ["seq"], hot_rows=hot_rows).select(
+    outcomes = salted_lookup(asked, resolved, key, "requests", ["seq"], hot_rows=hot_rows, owners=owners).select(
         "seq",
         *key,
         F.when(F.col("collection_id").isNull(), "not_found")

@@ -39,6 +39,7 @@ def salted_lookup(
     most: int | None = None,
     hot_rows: int = HOT_ROWS,
     small_spread: list[str] | None = None,
+    owners: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``big`` to ``small`` on ``keys``; ``small[rows]`` tells how many ``big`` rows a key owns.
 
@@ -46,11 +47,15 @@ def salted_lookup(
     ``big`` by a hash of ``spread``, ``small`` (where it has several rows per key) by one of
     ``small_spread``, each repeated along the other side. Cold keys are not repeated. A left join
     needs one row per key in ``small``. A caller that knows the ``most`` rows any key can make
-    spares the look for hot keys. Nothing runs while the plan is built.
+    spares the look for hot keys; one whose ``small`` has one row per key may give its ``owners``, a cheaper
+    table of the keys and their ``rows``. Nothing runs while the plan is built.
     """
     if most is not None and most <= hot_rows:
         return big.join(small, keys, how)
-    owned = small.groupBy(*keys).agg(F.max(rows).alias("_owned"), F.count(F.lit(1)).alias("_fan"))
+    if owners is not None:
+        owned = owners.select(*keys, F.col(rows).alias("_owned"), F.lit(1).alias("_fan"))
+    else:
+        owned = small.groupBy(*keys).agg(F.max(rows).alias("_owned"), F.count(F.lit(1)).alias("_fan"))
     made = F.col("_owned").cast("double") * F.col("_fan")
     cells = F.ceil(made / F.lit(hot_rows))
     hot = (
