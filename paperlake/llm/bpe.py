@@ -9,7 +9,8 @@
 3. Documents and ids meet by shard; positions become ids, and ids become pieces by a map-side
    join with the id-to-piece table, whose size is that of the vocabulary.
 
-Texts are never shuffled: a document travels as variable-length integers, a word once per shard.
+Texts are never shuffled: a document travels as variable-length integers, a word once per shard. One
+exchange holds both, keyed by shard or by range of words, and is read by steps 2 and 3.
 A shard is named after its word list, its partition and its place in it. Documents must be a
 plan that yields the same rows in the same order when a task is repeated, as file scans do;
 a shard whose word list is missing stops the job, it never gives wrong ids.
@@ -18,32 +19,35 @@ a shard whose word list is missing stops the job, it never gives wrong ids.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from paperlake.llm.frames import LOWER, partitions_for, ragged, texts_of
+from paperlake.llm.frames import partitions_for, ragged
 
 #: A shard is held in memory, about 10 bytes of it for each byte of text.
 SHARD_BYTES = 10 << 20
 #: Letters and digits, and the ASCII marks (not the apostrophe) that never join them in a piece.
-_INNER, _MARK = "0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "\x00-\x08\x0e-\x1f!-&(-/:-@\\[-`{-\x7f"
-_CUT = re.compile(f"(?<=[{_INNER}])(?=[{_MARK}])|(?<=[{_MARK}])(?=[{_INNER}])")
+_INNER = r"0-9a-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}"
+_MARK = r"\x00-\x08\x0e-\x1f!-&(-/:-@\[-`{-\x7f"
+CHANGED = "a shard's word list is missing: the documents changed between two reads"
 
 
-def words_in(chunk: bytes, special: tuple[bytes, ...]) -> list[bytes]:
-    """Words of a stretch without ASCII white space; stretches with a special token stay whole."""
-    if any(s in chunk for s in special):
-        return [chunk]
-    chunk = chunk.translate(LOWER)
-    return [chunk] if chunk.isalpha() else [w.encode() for w in _CUT.split(chunk.decode())]
+def words_in(chunks: pa.StringArray, special: tuple[str, ...]) -> pa.ListArray:
+    """Words of every stretch without ASCII white space; one with a special token stays whole."""
+    cut = pc.ascii_lower(chunks)
+    for one, other in ((_INNER, _MARK), (_MARK, _INNER)):
+        cut = pc.replace_substring_regex(cut, f"([{one}])([{other}])", "\\1\n\\2")
+    for token in special:
+        cut = pc.if_else(pc.match_substring(chunks, token), chunks, cut)
+    return pc.split_pattern(cut, "\n")
 
 
 def tokenizer_of(definition: str) -> Tokenizer:
@@ -87,91 +91,78 @@ def unpacked(data: np.ndarray) -> np.ndarray:
     return out
 
 
-CHANGED = "a shard's word list is missing: the documents changed between two reads"
-
-
 class _Shard:
-    """Documents of one shard in the making."""
-
-    def __init__(self) -> None:
-        self.chunks: dict[bytes, int] = {}
-        self.positions: list[int] = []
-        self.counts: list[int] = []
-        self.ids: list = []
-        self.bytes = 0
-
-    def add(self, doc_id, text: bytes) -> None:
-        found = text.split()
-        listed = self.chunks
-        self.positions += [listed.setdefault(w, len(listed)) for w in found]
-        self.counts.append(len(found))
-        self.ids.append(doc_id)
-        self.bytes += len(text)
-
-    def split(self, special: tuple[bytes, ...]) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
-        """The word list, all chunks' words behind each other, and the words of each chunk."""
-        words: dict[bytes, int] = {}
-        parts = [words_in(c, special) for c in self.chunks]
-        inner = np.array([words.setdefault(w, len(words)) for p in parts for w in p], np.int64)
-        return words, inner, np.array([len(p) for p in parts], np.int64)
-
-    def name(self, words: dict[bytes, int], part: int, number: int) -> int:
+    """The word list of some texts, and the texts as positions in it."""
+
+    def __init__(self, texts: pa.StringArray, special: tuple[str, ...], part: int, number: int) -> None:
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        chunks = split.flatten().dictionary_encode()
+        parts = words_in(chunks.dictionary, special)
+        words = parts.flatten().dictionary_encode()
+        self.words = words.dictionary.cast(pa.binary()).to_pylist()
+        inner = words.indices.to_numpy().astype(np.int64)
+        first = parts.offsets.to_numpy().astype(np.int64)
+        at = chunks.indices.to_numpy().astype(np.int64)
+        lengths = (first[1:] - first[:-1])[at]
+        self.positions = inner[ragged(first[:-1][at], lengths)]
+        self.ends = np.concatenate(([0], np.cumsum(lengths)))[split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()]
         digest = xxhash.xxh3_64(b"%d %d " % (part, number))
-        digest.update(b"\n".join(words))
-        return digest.intdigest() - (1 << 63)
+        digest.update(b"\n".join(self.words))
+        self.name = -1 - (digest.intdigest() >> 1)  # below all range numbers
 
-    def word_rows(self, name: int, words: dict[bytes, int], ranges: int) -> pa.RecordBatch:
+    def word_rows(self, kind: pa.DataType, ranges: int) -> pa.RecordBatch:
         """One row per range of word hashes: positions as steps, and the words."""
-        listed = list(words)
-        of = np.array([zlib.crc32(w) % ranges for w in listed], np.int64)
+        of = np.array([zlib.crc32(w) % ranges for w in self.words], np.int64)
         order = np.argsort(of, kind="stable")
         numbers, firsts = np.unique(of[order], return_index=True)
         groups = [order[a:b] for a, b in zip(firsts.tolist(), [*firsts[1:].tolist(), len(order)], strict=True)] if len(order) else []
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.full(len(groups), name)),
-                pa.array(numbers.astype(np.int32)),
-                pa.array([packed(np.diff(g, prepend=0))[0] for g in groups], pa.binary()),
-                pa.array([b"\n".join([listed[i] for i in g.tolist()]) for g in groups], pa.binary()),
-            ],
-            ["shard", "range", "steps", "words"],
-        )
-
-    def document_rows(self, name: int, inner: np.ndarray, per_chunk: np.ndarray, kind: pa.DataType) -> pa.RecordBatch:
-        at = np.array(self.positions, np.int64)
-        first = np.cumsum(per_chunk) - per_chunk
-        data, size = packed(inner[ragged(first[at], per_chunk[at])])
-        ends = np.concatenate(([0], np.cumsum(size)))
-        words = np.concatenate(([0], np.cumsum(per_chunk[at])))
-        cuts = words[np.concatenate(([0], np.cumsum(self.counts)))]
-        coded = pa.Array.from_buffers(pa.binary(), len(self.ids), [None, pa.py_buffer(ends[cuts].astype(np.int32)), pa.py_buffer(data)])
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(self.ids), name)), pa.array(self.ids, kind), coded], ["shard", "doc_id", "coded"])
-
-
-def _shards(docs: DataFrame, special: tuple[bytes, ...], shard_bytes: int, ranges: int = 0) -> DataFrame:
-    """Word lists (in ``ranges`` ranges) or coded documents of all shards; both see the same shards."""
+        steps = [packed(np.diff(g, prepend=0))[0] for g in groups]
+        texts = [b"\n".join([self.words[i] for i in g.tolist()]) for g in groups]
+        return _rows(numbers, self.name, pa.nulls(len(groups), kind), steps, texts)
+
+    def document_rows(self, ids: pa.Array) -> pa.RecordBatch:
+        data, size = packed(self.positions)
+        cuts = np.concatenate(([0], np.cumsum(size)))[self.ends].astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(cuts), pa.py_buffer(data)])
+        return _rows(np.full(len(ids), self.name), self.name, ids, coded, pa.nulls(len(ids), pa.binary()))
+
+
+def _rows(keys: np.ndarray, shard: int, ids: pa.Array, a, b) -> pa.RecordBatch:
+    columns = [pa.array(keys.astype(np.int64)), pa.array(np.full(len(keys), shard, np.int64)), ids, pa.array(a, pa.binary()), pa.array(b, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["key", "shard", "doc_id", "a", "b"])
+
+
+def _shards(docs: DataFrame, special: tuple[str, ...], shard_bytes: int, ranges: int) -> DataFrame:
+    """Word lists (``key``: a range of words) and coded documents (``key``: their shard) of all shards."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, shard, kind = TaskContext.get().partitionId(), 0, _Shard(), None
+        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
 
-        def flush() -> pa.RecordBatch:
-            words, inner, per_chunk = shard.split(special)
-            name = shard.name(words, part, number)
-            return shard.word_rows(name, words, ranges) if ranges else shard.document_rows(name, inner, per_chunk, kind)
+        def flush() -> Iterator[pa.RecordBatch]:
+            ids, texts = (pa.concat_arrays([h[k] for h in held]) for k in (0, 1))
+            shard = _Shard(texts, special, part, number)
+            yield shard.word_rows(ids.type, ranges)
+            yield shard.document_rows(ids)
 
         for batch in batches:
-            kind = batch.column(0).type
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                shard.add(doc_id, text)
-                if shard.bytes >= shard_bytes:
-                    yield flush()
-                    number, shard = number + 1, _Shard()
-        if shard.ids:
-            yield flush()
+            ids, texts = batch.column(0), batch.column(1)
+            ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            start = 0
+            while start < len(ids):
+                before = int(ends[start - 1]) if start else 0
+                stop = min(len(ids), int(np.searchsorted(ends, before + shard_bytes - size)) + 1)
+                held.append((ids.slice(start, stop - start), texts.slice(start, stop - start)))
+                size += int(ends[stop - 1]) - before
+                start = stop
+                if size >= shard_bytes:
+                    yield from flush()
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield from flush()
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = "shard long, range int, steps binary, words binary" if ranges else f"shard long, doc_id {id_type}, coded binary"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    schema = f"key long, shard long, doc_id {id_type}, a binary, b binary"
+    return docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def encode_decode(docs: DataFrame, path: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -189,7 +180,7 @@ def encode_decode(docs: DataFrame, path: str, shard_bytes: int = SHARD_BYTES) ->
     probe(tokenizer)
     if tokenizer.decoder is not None:
         raise ValueError("pieces are joined by a space; this tokenizer has a decoder of its own")
-    special = tuple(t.content.encode() for t in tokenizer.get_added_tokens_decoder().values())
+    special = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
     # both are bounded by the vocabulary, not by the documents
     shared = spark.sparkContext.broadcast(definition)
     pieces = spark.sparkContext.broadcast([(tokenizer.id_to_token(i) or "").encode() for i in range(tokenizer.get_vocab_size())])
@@ -197,10 +188,12 @@ def encode_decode(docs: DataFrame, path: str, shard_bytes: int = SHARD_BYTES) ->
     built: list[Tokenizer] = []  # one in every task
 
     def encode(table: pa.Table) -> pa.Table:
+        if table["key"][0].as_py() < 0:  # documents
+            return pa.table({"shard": pa.array([], pa.int64()), **{c: pa.array([], pa.binary()) for c in ("steps", "counts", "ids")}})
+        lists = [w.split(b"\n") for w in table["b"].to_pylist()]
         if not built:
             built.append(tokenizer_of(shared.value))
         own = built[0]
-        lists = [w.split(b"\n") for w in table["words"].to_pylist()]
         distinct = list(dict.fromkeys(w for words in lists for w in words))
         found: dict[bytes, list[int]] = {}
         for a in range(0, len(distinct), 1 << 14):
@@ -208,9 +201,11 @@ def encode_decode(docs: DataFrame, path: str, shard_bytes: int = SHARD_BYTES) ->
             found.update(zip(part, (e.ids for e in own.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)), strict=True))
         counts = [packed(np.array([len(found[w]) for w in words], np.int64))[0] for words in lists]
         ids = [packed(np.array([i for w in words for i in found[w]], np.int64))[0] for words in lists]
-        return pa.table({"shard": table["shard"], "steps": table["steps"], "counts": pa.array(counts, pa.binary()), "ids": pa.array(ids, pa.binary())})
+        return pa.table({"shard": table["shard"], "steps": table["a"], "counts": pa.array(counts, pa.binary()), "ids": pa.array(ids, pa.binary())})
 
     def assemble(listed: pa.Table, coded: pa.Table) -> pa.Table:
+        if not coded.num_rows or coded["key"][0].as_py() >= 0:  # words
+            return pa.table({"doc_id": coded["doc_id"].slice(0, 0), "ids": pa.array([], pa.binary()), "decoded": pa.array([], pa.string())})
         whole = lambda name: [unpacked(np.frombuffer(x, np.uint8)) for x in listed[name].to_pylist()] or [np.empty(0, np.int64)]
         at = np.concatenate([np.cumsum(x) for x in whole("steps")])
         counts, ids = np.concatenate(whole("counts")), np.concatenate(whole("ids"))
@@ -222,7 +217,7 @@ def encode_decode(docs: DataFrame, path: str, shard_bytes: int = SHARD_BYTES) ->
         said = [b" ".join([table[i] for i in ids[a : a + n].tolist()]) for a, n in zip(first.tolist(), n_ids.tolist(), strict=True)]
         ids = ids.astype("<u4")
         out_ids, out_text = [], []
-        for data in coded["coded"].to_pylist():
+        for data in coded["a"].to_pylist():
             words = unpacked(np.frombuffer(data, np.uint8))
             if len(words) and words.max() >= len(said):
                 raise ValueError(CHANGED)
@@ -231,8 +226,9 @@ def encode_decode(docs: DataFrame, path: str, shard_bytes: int = SHARD_BYTES) ->
             out_text.append(b" ".join([said[i] for i in words.tolist()]))
         return pa.table({"doc_id": coded["doc_id"], "ids": pa.array(out_ids, pa.binary()), "decoded": pa.array(out_text, pa.binary()).cast(pa.string())})
 
-    ranges = partitions_for(docs)
-    encoded = _shards(docs, special, shard_bytes, ranges).groupBy("range").applyInArrow(encode, "shard long, steps binary, counts binary, ids binary")
-    coded = _shards(docs, special, shard_bytes)
+    partitions = partitions_for(docs)
+    dealt = _shards(docs, special, shard_bytes, partitions).repartition(partitions, "key")
+    encoded = dealt.groupBy("key").applyInArrow(encode, "shard long, steps binary, counts binary, ids binary")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return encoded.groupBy("shard").cogroup(coded.groupBy("shard")).applyInArrow(assemble, f"doc_id {id_type}, ids binary, decoded string")
+    # both read the one exchange: its rows are told apart inside the functions, so nothing is pushed below it
+    return encoded.groupBy("shard").cogroup(dealt.groupBy("key")).applyInArrow(assemble, f"doc_id {id_type}, ids binary, decoded string")
