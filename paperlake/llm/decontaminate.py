@@ -192,7 +192,7 @@ def contamination(
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + F.octet_length("id"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    fields = "n_words long, spans array<struct<start:int;stop:int>>, items array<string>".replace(";", ",")
+    fields = "n_words long, spans array<struct<start:int,stop:int>>, items array<string>"
     result = None
     for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).collect()

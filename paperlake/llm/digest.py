@@ -23,7 +23,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperlake.llm.frames import map_texts, partitions_for, ragged, texts_of
+from paperlake.llm.frames import chunks, map_texts, partitions_for, ragged, texts_of
 from paperlake.llm.hashes import StretchHashes
 
 WINDOW = 64
@@ -99,25 +99,13 @@ class Texts:
         self.data = np.frombuffer(b"".join(texts), np.uint8)
 
 
-def chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
-    held, size = [], 0
-    for text in texts:
-        held.append(text)
-        size += len(text)
-        if size >= CHUNK_BYTES:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
 def level_counts(docs: DataFrame) -> np.ndarray:
     """How many windows of all documents have each entropy level (LEVELS + 1 numbers)."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(LEVELS + 1, np.int64)
         for batch in batches:
-            for part in chunks(texts_of(batch.column(0))):
+            for part in chunks(texts_of(batch.column(0)), CHUNK_BYTES):
                 own = Texts(part)
                 if own.lengths.max() >= WINDOW:
                     total += np.bincount(levels_of(own.data, own.starts, own.lengths)[0], minlength=LEVELS + 1)
@@ -140,7 +128,7 @@ def ranks_of(counts: np.ndarray) -> np.ndarray:
 
 def digests(texts: list[bytes], ranks: np.ndarray) -> list[bytes]:
     """Chain of Bloom filters of every text; texts without bytes have none."""
-    return [d for part in chunks(texts) for d in _digests(part, ranks)]
+    return [d for part in chunks(texts, CHUNK_BYTES) for d in _digests(part, ranks)]
 
 
 def _digests(texts: list[bytes], ranks: np.ndarray) -> list[bytes]:

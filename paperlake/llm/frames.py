@@ -51,6 +51,19 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return steps + np.repeat(np.asarray(starts, np.int64) - (ends - lengths), lengths)
 
 
+def chunks(texts: list[bytes], size: int) -> Iterator[list[bytes]]:
+    """The texts in order, in lists of about ``size`` bytes."""
+    held, total = [], 0
+    for text in texts:
+        held.append(text)
+        total += len(text)
+        if total >= size:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
+
+
 def map_texts(
     docs: DataFrame, fields: str, function: Callable[[list[bytes]], list[pa.Array]], text: str = "text", chunk_bytes: int = 0
 ) -> DataFrame:

@@ -1,7 +1,8 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 Terms are words and their beginnings of four to six bytes, as inflected insults share a beginning.
-Those that go with the label (chi-squared over the labelled sample) are the vocabulary; document
+Those that go with the label (chi-squared over the labelled sample, and far more frequent in one
+class) are the vocabulary; document
 frequencies are counted over all documents. Examples are kept in an inverted index cut into blocks
 of ``BLOCK`` examples with the largest weight of every term in every block. A query visits blocks in
 order of the best score they can hold and stops when that is no better than its k-th neighbour:
@@ -18,10 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperlake.llm.frames import ALNUM, crc_rest, map_texts, texts_of
+from paperlake.llm.frames import ALNUM, chunks, crc_rest, map_texts, ragged, texts_of
 from paperlake.llm.labels import labelled_sample, rising
 
 BY, HELD_OUT = 4, 2
@@ -31,11 +33,16 @@ PER_CLASS = 10_000
 TERMS = 4096
 LEAST_CHI2 = 25.0
 LEAST_DOCS = 4
+#: ... or one in so many of them, if that is more: chance finds rare words that go with a label.
+DOCS_PER_TERM = 500
+#: A term must be so many times as frequent in one class as in the other.
+LEAST_RATIO = 4.0
 STARTS = (4, 5, 6)
 NEIGHBOURS = 11
 BLOCK = 64
 NEAR = 0.05
 CUT = 0.3
+CHUNK_BYTES = 8 << 20
 _MEMO = 1 << 19
 
 
@@ -45,26 +52,36 @@ def terms_of(word: bytes) -> list[bytes]:
 
 
 class Vocabulary:
-    """Numbers of the terms of words, remembered for words seen before."""
+    """Term counts of texts; every distinct word of a chunk is looked up once."""
 
     def __init__(self, terms: list[bytes]) -> None:
         self.numbers = {t: i for i, t in enumerate(terms)}
-        self.memo: dict[bytes, tuple[int, ...]] = {}
-
-    def counts(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers in order, and how often each occurs."""
-        memo, found = self.memo, []
-        for word in text.translate(ALNUM).split():
-            hit = memo.get(word)
-            if hit is None:
-                hit = tuple(self.numbers[t] for t in terms_of(word) if t in self.numbers)
-                if len(memo) >= _MEMO:
-                    memo.clear()
-                memo[word] = hit
-            if hit:
-                found += hit
-        numbers, counts = np.unique(np.array(found, np.int64), return_counts=True)
-        return numbers, counts
+        self.begins = {t[: STARTS[0]] for t in terms if t.endswith(b"*")}
+
+    def terms(self, word: bytes) -> list[int]:
+        if word not in self.numbers and word[: STARTS[0]] not in self.begins:
+            return []
+        return [self.numbers[t] for t in terms_of(word) if t in self.numbers]
+
+    def counts(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per text: term numbers in order, and how often each occurs."""
+        return [found for part in chunks(texts, CHUNK_BYTES) for found in self._counts(part)]
+
+    def _counts(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        split = pc.ascii_split_whitespace(pa.array([t.translate(ALNUM) for t in texts], pa.binary()).cast(pa.string()))
+        words = split.flatten().dictionary_encode()
+        found = [self.terms(w) for w in words.dictionary.cast(pa.binary()).to_pylist()]
+        sizes = np.array([len(f) for f in found], np.int64)
+        flat = np.array([i for f in found for i in f], np.int64)
+        at = words.indices.to_numpy()
+        hit = np.flatnonzero(sizes[at]) if len(at) else np.empty(0, np.int64)
+        at = at[hit]
+        text = np.repeat(np.searchsorted(split.offsets.to_numpy(), hit, side="right") - 1, sizes[at])
+        terms = flat[ragged((np.cumsum(sizes) - sizes)[at], sizes[at])]
+        both, counts = np.unique(text * max(len(self.numbers), 1) + terms, return_counts=True)
+        cuts = np.searchsorted(both, np.arange(len(texts) + 1) * max(len(self.numbers), 1))
+        numbers = both % max(len(self.numbers), 1)
+        return [(numbers[x:y], counts[x:y]) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
 @dataclass
@@ -141,9 +158,11 @@ class Judge:
         say = self.model.votes[found] / (1 - np.minimum(scores, 1) + NEAR)
         return float((say * self.model.labels[found]).sum() / say.sum()), found.tolist()
 
-    def score(self, text: bytes) -> tuple[float, list[int]]:
-        """Calibrated score and the doc_ids of the neighbours that it rests on."""
-        numbers, counts = self.vocabulary.counts(text)
+    def scores(self, texts: list[bytes]) -> list[tuple[float, list[int]]]:
+        """Calibrated score of each text and the doc_ids of the neighbours that it rests on."""
+        return [self._score(numbers, counts) for numbers, counts in self.vocabulary.counts(texts)]
+
+    def _score(self, numbers: np.ndarray, counts: np.ndarray) -> tuple[float, list[int]]:
         key = numbers.tobytes() + counts.tobytes()
         if key not in self.memo:
             if len(self.memo) >= _MEMO >> 3:
@@ -182,7 +201,10 @@ def associated_terms(sample: DataFrame, sizes: dict[int, int], most: int = TERMS
     c, d = n1 - a, n0 - b
     chi2 = (n0 + n1) * (a * d - b * c) * (a * d - b * c) / ((a + b) * (c + d) * n0 * n1 + 1e-9)
     counted = sample.select("label", "text").mapInArrow(count, "term binary, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    best = counted.where(F.col("n0") + F.col("n1") >= LEAST_DOCS).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
+    ratio = ((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1))
+    one_sided = F.greatest(ratio, 1 / ratio) >= LEAST_RATIO
+    least = max(LEAST_DOCS, sum(sizes.values()) // DOCS_PER_TERM)
+    best = counted.where((a + b >= least) & one_sided).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
     return [bytes(r["term"]) for r in best.orderBy(F.desc("chi2"), "term").select("term").limit(most).collect()]
 
 
@@ -192,8 +214,8 @@ def document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[np.ndarra
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, total, rows = Vocabulary(terms), np.zeros(len(terms) + 1, np.int64), 0
         for batch in batches:
-            for text in texts_of(batch.column(0)):
-                total[vocabulary.counts(text)[0]] += 1
+            for numbers, _ in vocabulary.counts(texts_of(batch.column(0))):
+                total[numbers] += 1
                 rows += 1
         total[-1] = rows
         there = np.flatnonzero(total)
@@ -220,7 +242,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     def vectors(texts: list[bytes], built=[]) -> list[pa.Array]:  # noqa: B006  built once per task
         if not built:
             built.append(Vocabulary(terms))
-        found = [built[0].counts(t) for t in texts]
+        found = built[0].counts(texts)
         return [pa.array([list(map(int, f[k])) for f in found], pa.list_(pa.int64())) for k in (0, 1)]
 
     rows = map_texts(sample, "numbers array<bigint>, counts array<bigint>", vectors).select("row.doc_id", "row.label", "found.*").collect()
@@ -268,7 +290,7 @@ def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Dat
     def run(texts: list[bytes], built=[]) -> list[pa.Array]:  # noqa: B006  built once per task
         if not built:
             built.append(Judge(Model(**shared.value)))
-        found = [built[0].score(t) for t in texts]
+        found = built[0].scores(texts)
         return [pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))]
 
     return map_texts(docs, "score double, evidence array<bigint>", run)
