@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,36 +66,40 @@ def chunks(texts: list[bytes], size: int) -> Iterator[list[bytes]]:
 
 
 def map_texts(
-    docs: DataFrame, fields: str, function: Callable[[list[bytes]], list[pa.Array]], text: str = "text", chunk_bytes: int = 0
+    docs: DataFrame, fields: str, function: Callable[[list[bytes]], list[pa.Array]], text: str = "text", chunk_bytes: int = 8 << 20
 ) -> DataFrame:
     """``row`` (a struct of all columns of ``docs``) and ``found`` (a struct of ``fields``) of every row.
 
-    ``function`` gets the UTF-8 texts of some rows and returns one array per field. It sees
-    at least ``chunk_bytes`` of text at once where a partition has them. Own names of ``docs``
-    never clash with the fields, as either side stays in its struct.
+    ``function`` gets the UTF-8 texts of some rows and returns one array per field. It sees about
+    ``chunk_bytes`` of text at once where a partition has as many. Own names of ``docs`` never clash
+    with the fields, as either side stays in its struct.
     """
     schema = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     at = docs.columns.index(text)
     names = [part.split()[0] for part in fields.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[pa.Array, list[bytes]]] = []
+        held: list[pa.Array] = []  # rows whose texts are not looked at yet
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            made = [pa.array(a) for a in function([t for _, texts in held for t in texts])]
+            made = [pa.array(a) for a in function([t for row in held for t in texts_of(row.field(at))])]
             start = 0
-            for row, texts in held:
-                part = pa.StructArray.from_arrays([a.slice(start, len(texts)) for a in made], names)
+            for row in held:
+                part = pa.StructArray.from_arrays([a.slice(start, len(row)) for a in made], names)
                 yield pa.RecordBatch.from_arrays([row, part], ["row", "found"])
-                start += len(texts)
+                start += len(row)
 
         for batch in batches:
-            if batch.num_rows:
-                row = batch.column(0)
-                texts = texts_of(row.field(at))
-                held.append((row, texts))
-                size += sum(map(len, texts))
+            row, start = batch.column(0), 0
+            lengths = pc.binary_length(row.field(at)).fill_null(0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(lengths.astype(np.int64))
+            while start < len(row):
+                before = int(ends[start - 1]) if start else 0
+                stop = min(len(row), int(np.searchsorted(ends, before + max(chunk_bytes - size, 1))) + 1)
+                held.append(pa.StructArray.from_arrays([f.slice(start, stop - start) for f in row.flatten()], fields=list(row.type)))
+                size += int(ends[stop - 1]) - before
+                start = stop
                 if size >= chunk_bytes:
                     yield from flush()
                     held, size = [], 0

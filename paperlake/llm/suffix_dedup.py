@@ -32,7 +32,8 @@ from paperlake.llm.hashes import StretchHashes
 from paperlake.llm.suffixes import previous_common, suffix_array, words8
 
 LENGTH = 200
-SHARD_BYTES = 4 << 20
+#: A task holds about 120 bytes for each byte of its shard.
+SHARD_BYTES = 2 << 20
 GRAM = 8
 #: LENGTH - GRAM + 1 positions hold three anchors if no two of them are further apart.
 SPREAD = 64
