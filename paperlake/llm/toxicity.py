@@ -33,8 +33,6 @@ PER_CLASS = 10_000
 TERMS = 4096
 LEAST_CHI2 = 25.0
 LEAST_DOCS = 4
-#: ... or one in so many of them, if that is more: chance finds rare words that go with a label.
-DOCS_PER_TERM = 500
 #: A term must be so many times as frequent in one class as in the other.
 LEAST_RATIO = 4.0
 STARTS = (4, 5, 6)
@@ -203,8 +201,7 @@ def associated_terms(sample: DataFrame, sizes: dict[int, int], most: int = TERMS
     counted = sample.select("label", "text").mapInArrow(count, "term binary, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     ratio = ((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1))
     one_sided = F.greatest(ratio, 1 / ratio) >= LEAST_RATIO
-    least = max(LEAST_DOCS, sum(sizes.values()) // DOCS_PER_TERM)
-    best = counted.where((a + b >= least) & one_sided).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
+    best = counted.where((a + b >= LEAST_DOCS) & one_sided).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
     return [bytes(r["term"]) for r in best.orderBy(F.desc("chi2"), "term").select("term").limit(most).collect()]
 
 

@@ -106,3 +106,10 @@ def test_odd_rows_and_labels(spark, odd, module):
         assert got.count() == odd.count() and got.where("given is null or given < 0 or given > 1").count() == 0
         assert got.drop("given").columns == odd.columns
     assert module.score(odd.limit(0), some).count() == 0
+
+
+def test_rare_insults_count_at_any_number_of_labels(spark):
+    """A word in six of 400 toxic rows, among 6,000 labelled ones."""
+    rows = [(0, f"plain words {i % 50}") for i in range(5_600)] + [(1, "plain words" + (" zorkish" if i < 6 else "")) for i in range(400)]
+    sample = spark.createDataFrame(rows, "label int, text string")
+    assert b"zorkish" in toxicity.associated_terms(sample, {0: 5_600, 1: 400})
