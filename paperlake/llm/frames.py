@@ -66,16 +66,18 @@ def chunks(texts: list[bytes], size: int) -> Iterator[list[bytes]]:
 
 
 def map_texts(
-    docs: DataFrame, fields: str, function: Callable[[list[bytes]], list[pa.Array]], text: str = "text", chunk_bytes: int = 8 << 20
+    docs: DataFrame, fields: str, function: Callable[..., list[pa.Array]], text: str = "text", chunk_bytes: int = 8 << 20, beside: str | None = None
 ) -> DataFrame:
     """``row`` (a struct of all columns of ``docs``) and ``found`` (a struct of ``fields``) of every row.
 
     ``function`` gets the UTF-8 texts of some rows and returns one array per field. It sees about
-    ``chunk_bytes`` of text at once where a partition has as many. Own names of ``docs`` never clash
+    ``chunk_bytes`` of text at once where a partition has as many, and with ``beside`` that column's
+    values as a second list. Own names of ``docs`` never clash
     with the fields, as either side stays in its struct.
     """
     schema = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     at = docs.columns.index(text)
+    at_beside = None if beside is None else docs.columns.index(beside)
     names = [part.split()[0] for part in fields.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +85,10 @@ def map_texts(
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            made = [pa.array(a) for a in function([t for row in held for t in texts_of(row.field(at))])]
+            given = [[t for row in held for t in texts_of(row.field(at))]]
+            if at_beside is not None:
+                given.append([v for row in held for v in row.field(at_beside).to_pylist()])
+            made = [pa.array(a) for a in function(*given)]
             start = 0
             for row in held:
                 part = pa.StructArray.from_arrays([a.slice(start, len(row)) for a in made], names)

@@ -82,5 +82,103 @@ from files f left join nearest n using (doc_id)
 """
 
 
+#: Levels that the twin reduces a tree by: 3 ** LEVELS leaves of a source.
+LEVELS = 14
+
+
+def _reduced(name: str, levels: int) -> str:
+    """Nodes of all levels of trees ``{name}0`` (t, i, d, n), with the siblings of each before and behind it."""
+    parts = []
+    for k in range(levels):
+        run = "over (partition by t, i // 3 order by i rows between"
+        parts.append(
+            f"""{name}{k}_near as (
+  select *, coalesce(string_agg(d, '') {run} unbounded preceding and 1 preceding), '') as before,
+         coalesce(string_agg(d, '') {run} 1 following and unbounded following), '') as behind from {name}{k} where n > 1
+), {name}{k + 1} as (
+  select t, i // 3 as i, sha256(string_agg(d, '' order by i)) as d, any_value((n + 2) // 3) as n from {name}{k} where n > 1 group by t, i // 3
+)"""
+        )
+    every = " union all ".join(f"select t, i, d, n from {name}{k}" for k in range(levels + 1))
+    parts.append(f"{name}_root as (select t, d from ({every}) where n = 1)")
+    return ", ".join(parts)
+
+
+def _folded(name: str, levels: int, source: str, tree: str, rank: str) -> str:
+    """Rows of ``source`` with their digest ``f`` folded up, and the siblings met (``s``)."""
+    at = source
+    parts = []
+    for k in range(levels):
+        parts.append(
+            f"""{name}f{k} as (
+  select o.* replace (case when x.n is null then o.f else sha256(x.before || o.f || x.behind) end as f, o.s || coalesce(x.before || x.behind, '') as s)
+  from {at} o left join {name}{k}_near x on x.t = o.{tree} and x.i = o.{rank} // {3**k}
+)"""
+        )
+        at = f"{name}f{k}"
+    return ", ".join(parts)
+
+
+def _leaf(text: str) -> str:
+    columns = ("doc_id", "source", "lang", "n_chars", text)
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')" for c in columns) + ")"
+
+
+def _merkle() -> str:
+    """CRC32 by its table, made from the rule of its polynomial."""
+    table = []
+    for value in range(256):
+        for _ in range(8):
+            value = (value >> 1) ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    crc = (
+        f"xor(4294967295::bigint, list_reduce(list_prepend(4294967295::bigint, [ascii(c)::bigint for c in string_split(doc_id::varchar, '')]), "
+        f"lambda a, b: xor(a >> 8, ({table}::bigint[])[(xor(a, b) & 255) + 1])))"
+    )
+    found = "case when " + crc + " % 2 = 0 then replace(text, chr(10), '') else text end"
+    return f"""
+with named as (select source as name, row_number() over (order by source nulls first) - 1 as t from (select distinct source from documents)
+), leaves as (
+  select d.doc_id, n.t, {_leaf("text")} as leaf, {_leaf("(" + found + ")")} as found
+  from documents d join named n on d.source is not distinct from n.name
+), ranked as (
+  select *, row_number() over (partition by t order by doc_id nulls first, leaf) - 1 as r, count(*) over (partition by t) as n from leaves
+), a0 as (select t, r as i, leaf as d, n from ranked
+), {_reduced("a", LEVELS)}, b0 as (select 0 as t, t as i, d, count(*) over () as n from a_root
+), {_reduced("b", LEVELS)}, start as (select doc_id, t, r, leaf, 0 as top, found as f, '' as s from ranked
+), {_folded("a", LEVELS, "start", "t", "r")}, {_folded("b", LEVELS, f"af{LEVELS - 1}", "top", "t")}
+select o.doc_id, o.leaf, a_root.d as subroot, b_root.d as root, sha256(o.s) as proof_sha256, o.f as folded_root, o.f = b_root.d as verified
+from bf{LEVELS - 1} o join a_root using (t) cross join b_root
+"""
+
+
+MERKLE = _merkle()
+
+FIM = """
+with texts as (select doc_id, coalesce(text, '') as text, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents
+), drawn as (
+  select doc_id, text, length(text) as n, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4
+  from texts
+), cut as (
+  select doc_id, text, n, least(h1 % (n + 1), h2 % (n + 1)) as low, greatest(h1 % (n + 1), h2 % (n + 1)) as high,
+         case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain'
+              when h4 % 100 < 20 then 'spm' else 'psm' end as form
+  from drawn
+), said as (
+  select *, substring(text, 1, low) as p, substring(text, low + 1, high - low) as m, substring(text, high + 1, n - high) as s from cut
+), put as (
+  select *, case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end as output from said
+), found as (
+  select *, instr(output, '<P>') as at_p, instr(output, '<S>') as at_s, instr(output, '<M>') as at_m from put
+)
+select doc_id, n, form, case when form <> 'plain' then low end as prefix_chars, case when form <> 'plain' then high - low end as middle_chars,
+       sha256(output) as output_sha256,
+       sha256(case form when 'plain' then output
+              when 'psm' then substring(output, 4, at_s - 4) || substring(output, at_m + 3) || substring(output, at_s + 3, at_m - at_s - 3)
+              else substring(output, at_p + 3, at_m - at_p - 3) || substring(output, at_m + 3) || substring(output, 4, at_p - 4) end) as restored_sha256
+from found
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_licenses": LICENSES, "op9_url_filter": URL_FILTER}
+    return {"op6_licenses": LICENSES, "op9_url_filter": URL_FILTER, "op11_merkle": MERKLE, "op13_fim": FIM}

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlake.llm import bpe, decontaminate, digest, licenses, quality, simhash, suffix_dedup, token_counts, toxicity, url_filter
+from paperlake.llm import bpe, decontaminate, digest, fim, licenses, merkle, quality, quality_rules, simhash, suffix_dedup, token_counts, toxicity, url_filter
+from paperlake.llm.frames import crc_rest
 
 
 TOKENIZER = "word_bpe_49k.json"
@@ -120,5 +121,30 @@ def op10_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 2 divides the crc32 of an id, a reader finds the text without its line ends."""
+    edited = F.when(crc_rest("doc_id", 2) == 0, F.replace("text", F.lit("\n"), F.lit("")))
+    found = merkle.verify_documents(table(spark, sf_dir, "documents"), tampered=edited)
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", merkle.siblings(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+    )
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = quality_rules.trusted_documents(table(spark, sf_dir, "labels"))
+    found = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), trusted)
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return found.select("row.doc_id", *[f"found.{c}" for c in counts], "found.base_failed", "found.kept", "found.score")
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", *[f"found.{c}" for c in ("n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_simhash, op4_quality, op5_bpe, op6_licenses, op7_suffix_dedup, op8_token_counts, op9_url_filter, op10_digest)}
+    own = (
+        op1_toxicity, op2_decontaminate, op3_simhash, op4_quality, op5_bpe, op6_licenses, op7_suffix_dedup, op8_token_counts, op9_url_filter,
+        op10_digest, op11_merkle, op12_quality_rules, op13_fim,
+    )
+    return {f.__name__: f for f in own}
