@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlake.llm import bpe, decontaminate, jaccard, suffix_dedup, toxicity
+from paperlake.llm import bpe, decontaminate, simhash, suffix_dedup, toxicity
 from paperlake.llm.queries import table, tokenizer_path
 from paperlake.runtime import durable
 
@@ -19,8 +19,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every component of texts of similar five-word shingles stays, that of the smallest id."""
-    return jaccard.keep_first(docs)
+    """One document of every component of fingerprints within the operator's radius stays, that of the smallest id."""
+    return simhash.keep_first(docs)
 
 
 def whole_characters(kept: Column, spans: Column) -> Column:
