@@ -3,7 +3,8 @@
 1. Documents are dealt, where they are read, into shards of about ``SHARD_BYTES``. A shard lists its
    distinct words and a document becomes the positions of its words in that list. Words end at
    ASCII white space and where ASCII marks meet letters or digits, places that no piece of a
-   supported tokenizer crosses, and A-Z is folded; a probe on the driver checks all three.
+   supported tokenizer crosses, and A-Z is folded; a probe on the driver checks all three. Stretches with
+   combining characters, or a letter that becomes one, are words as they stand: those join what is before them.
 2. The lists of all shards meet by word: every distinct word of the corpus is encoded once, however
    many shards list it, and its ids go back to (shard, position).
 3. Documents and ids meet by shard; positions become ids, and ids become pieces by a map-side
@@ -37,14 +38,17 @@ SHARD_BYTES = 10 << 20
 #: Letters and digits, and the ASCII marks (not the apostrophe) that never join them in a piece.
 _INNER = r"0-9a-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}"
 _MARK = r"\x00-\x08\x0e-\x1f!-&(-/:-@\[-`{-\x7f"
+#: Combining characters, and the capital that is folded to a letter and one of them.
+_JOINING = r"[\p{M}\x{130}]"
 CHANGED = "a shard's word list is missing: the documents changed between two reads"
 
 
 def words_in(chunks: pa.StringArray, special: tuple[str, ...]) -> pa.ListArray:
-    """Words of every stretch without ASCII white space; one with a special token stays whole."""
+    """Words of every stretch without ASCII white space; one with a special token or a joining character stays whole."""
     cut = pc.ascii_lower(chunks)
     for one, other in ((_INNER, _MARK), (_MARK, _INNER)):
         cut = pc.replace_substring_regex(cut, f"([{one}])([{other}])", "\\1\n\\2")
+    cut = pc.if_else(pc.match_substring_regex(chunks, _JOINING), chunks, cut)
     for token in special:
         cut = pc.if_else(pc.match_substring(chunks, token), chunks, cut)
     return pc.split_pattern(cut, "\n")

@@ -138,7 +138,7 @@ def forest(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
-    """``doc_id``, ``simhash`` and ``component_id``, the smallest doc_id that links reach.
+    """``doc_id``, ``simhash``, ``component_id`` (the smallest doc_id that links reach) and ``label`` (a fingerprint of it).
 
     One row per row of ``docs``. Null and empty texts share fingerprint zero and link like any
     other. Null doc_ids get a row; they never are a component_id unless nothing else is there.
@@ -151,8 +151,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -
         "simhash", "first_id", F.coalesce("label", "simhash").alias("label")
     )
     lowest = reached.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    of_print = reached.join(lowest, "label").select("simhash", "component_id")
-    return prints.join(of_print, "simhash").select("doc_id", "simhash", "component_id")
+    of_print = reached.join(lowest, "label").select("simhash", "component_id", "label")
+    return prints.join(of_print, "simhash").select("doc_id", "simhash", "component_id", "label")
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
@@ -162,7 +162,7 @@ def keep_first(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> Dat
     """
     found = near_duplicates(docs, radius, words)
     key = [F.col("doc_id").isNull().alias("_no_id"), F.coalesce("doc_id", F.lit(0)).alias("_id"), "simhash"]
-    firsts = found.groupBy("component_id").agg(F.min(F.struct(*key)).alias("k")).select("k.*")
+    firsts = found.groupBy("label").agg(F.min(F.struct(*key)).alias("k")).select("k.*")
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
     marked = with_fingerprint(rows, words).select("row", *key)
     names = ["_no_id", "_id", "simhash"]
