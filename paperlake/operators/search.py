@@ -4,13 +4,16 @@ Search requests: request_id, query, category, sort_by, sort_order, max_results.
 A text query matches papers that hold all its terms; a category must be among the
 paper's categories; blank parts drop out. Relevance is the TF-IDF cosine of the query's terms
 to the paper over the whole corpus.
+
+A request is driven by its rarest term: only that term's postings are joined to it, and the papers found are looked up
+in the postings of its other terms. Searches for the best results skip blocks that cannot hold any.
 """
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperlake.constants import (
@@ -23,9 +26,12 @@ from paperlake.constants import (
 from paperlake.functions.display import search_line, select_option
 from paperlake.functions.text import strip, tokens, truncate
 from paperlake.operators.similarity import inverse_frequencies
-from paperlake.operators.skew import HOT_ROWS, salted_lookup
+from paperlake.operators.skew import HOT_ROWS, rank_in_group, salted_lookup
+from paperlake.runtime import durable
 
 RELEVANCE_DECIMALS = 6
+#: Papers in a block of a term's postings.
+BLOCK = 128
 
 
 def lookup_by_id(requests: DataFrame, papers: DataFrame) -> DataFrame:
@@ -70,75 +76,143 @@ def _order_columns() -> list:
 class SearchIndex(NamedTuple):
     """What all search batches share; ``stored`` it by writing its tables and reading them back."""
 
-    frequencies: DataFrame  # term, df, w2
-    documents: DataFrame  # paper_id, norm2
+    frequencies: DataFrame  # term, df, w2, top (largest weight)
+    postings: DataFrame  # term, block, top, least (its smallest paper_id), rows: paper_id, tf, norm2
+    documents: DataFrame  # paper_id, published, updated, categories
+    heads: DataFrame  # category ('' for all), sort_by, sort_order, paper_id, published, updated, relevance
     size: int
 
 
-def search_index(bags: DataFrame, documents: int, hot_rows: int = HOT_ROWS) -> SearchIndex:
-    """Term weights and document norms of a corpus of ``documents`` papers."""
+def search_index(bags: DataFrame, papers: DataFrame, hot_rows: int = HOT_ROWS) -> SearchIndex:
+    """Inverted index of a corpus.
+
+    A term's papers are in blocks of ``BLOCK``, the largest TF-IDF weights first, each with its largest weight, so
+    that a search for the best results can leave out the blocks that hold none.
+    """
+    size = papers.count()
     terms = bags.select("paper_id", F.inline("bag"))
-    frequencies = inverse_frequencies(terms, documents, []).select("term", "df", F.pow("idf", F.lit(2.0)).alias("w2"))
-    norms = (
-        salted_lookup(terms, frequencies, ["term"], "df", ["paper_id"], most=documents, hot_rows=hot_rows)
-        .groupBy("paper_id")
-        .agg(F.sum(F.col("tf") * F.col("tf") * F.col("w2")).alias("norm2"))
+    frequencies = inverse_frequencies(terms, size, []).select("term", "df", F.pow("idf", F.lit(2.0)).alias("w2"))
+    weighted = salted_lookup(terms, frequencies, ["term"], "df", ["paper_id"], most=size, hot_rows=hot_rows)
+    norms = weighted.groupBy("paper_id").agg(F.sum(F.col("tf") * F.col("tf") * F.col("w2")).alias("norm2"))
+    weight = F.col("tf") * F.sqrt("w2") / F.sqrt("norm2")
+    scored = durable(weighted.join(norms, "paper_id").select("term", "df", "w2", "paper_id", "tf", "norm2", weight.alias("weight")), "search-weights")
+    ranked = rank_in_group(scored, ["term"], [F.desc("weight"), F.col("paper_id")], hot_rows)
+    postings = durable(
+        ranked.groupBy("term", "df", "w2", F.expr(f"(position - 1) div {BLOCK}").alias("block")).agg(
+            F.max("weight").alias("top"), F.min("paper_id").alias("least"), F.collect_list(F.struct("paper_id", "tf", "norm2")).alias("rows")
+        ),
+        "search-postings",
+    )
+    return SearchIndex(
+        postings.where("block = 0").select("term", "df", "w2", "top"),
+        postings.drop("df", "w2"),
+        papers.select("paper_id", "published", "updated", "categories"),
+        _heads(papers),
+        size,
     )
-    return SearchIndex(frequencies, norms, documents)
 
 
-def matching_papers(
-    requests: DataFrame, bags: DataFrame, papers: DataFrame, index: SearchIndex | None = None, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """All papers a text query matches: request columns, paper_id, relevance, dates.
+def planned(requests: DataFrame, index: SearchIndex) -> DataFrame:
+    """Text requests whose terms all occur somewhere: ``request``, ``driver`` (its rarest term), ``others``, ``query_norm2``.
 
-    ``index`` spares each batch the counts over the whole corpus; without one it is made here.
+    A request with a term that no paper has matches nothing and has no row.
     """
     asked = _normalised(requests).where(F.size("terms") > 0)
-    terms = bags.select("paper_id", F.inline("bag"))
-    frequencies, norms, documents = index or search_index(bags, papers.count(), hot_rows)
-    # All request columns ride along with the terms: joining them to the hits later
-    # would gather every hit of one request under one key.
     fields = [c for c in asked.columns if c != "terms"]
-    wanted = (
-        asked.select(
-            F.struct(*fields).alias("request"),
-            F.size(F.array_distinct("terms")).alias("n_terms"),
-            F.explode("terms").alias("term"),
-        )
+    known = (
+        asked.select(F.struct(*fields).alias("request"), F.size(F.array_distinct("terms")).alias("n_terms"), F.explode("terms").alias("term"))
         .groupBy("request", "n_terms", "term")
         .agg(F.count(F.lit(1)).alias("query_tf"))
-        .join(frequencies, "term")
+        .join(index.frequencies, "term")
+        .groupBy("request", "n_terms")
+        .agg(F.sort_array(F.collect_list(F.struct("df", "term", "query_tf", "w2", "top"))).alias("known"))
+        .where(F.size("known") == F.col("n_terms"))
     )
-    query_norms = wanted.groupBy("request").agg(
-        F.sum(F.col("query_tf") * F.col("query_tf") * F.col("w2")).alias("query_norm2")
-    )
-    hits = (
-        salted_lookup(
-            terms, wanted.join(query_norms, "request"), ["term"], "df", ["paper_id"],
-            most=documents, hot_rows=hot_rows,
-        )
-        .groupBy("request", "n_terms", "query_norm2", "paper_id")
-        .agg(
-            F.count(F.lit(1)).alias("n_shared"),
-            F.sum(F.col("tf") * F.col("query_tf") * F.col("w2")).alias("dot"),
-        )
-        .where(F.col("n_shared") == F.col("n_terms"))
+    squares = F.aggregate("known", F.lit(0.0), lambda s, t: s + t["query_tf"] * t["query_tf"] * t["w2"])
+    return known.select("request", F.element_at("known", 1).alias("driver"), F.slice("known", F.lit(2), F.size("known")).alias("others"), squares.alias("query_norm2"))
+
+
+def candidates(plan: DataFrame, index: SearchIndex, opened: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Papers of every request's rarest term, from the blocks for which ``opened`` holds.
+
+    No other term's postings meet the requests.
+    """
+    keyed = plan.select("*", F.col("driver.term").alias("term"), F.col("driver.df").alias("df"))
+    blocks = salted_lookup(index.postings, keyed, ["term"], "df", ["block"], most=None, hot_rows=hot_rows, small_spread=["request"]).where(opened)
+    return blocks.select("request", "driver", "others", "query_norm2", F.inline("rows"))
+
+
+def _verified(found: DataFrame, plan: DataFrame, index: SearchIndex) -> DataFrame:
+    """Candidates that hold the other terms as well and belong to the category, with their relevance."""
+    first = F.col("tf") * F.col("driver.query_tf") * F.col("driver.w2")
+    key = ["request", "query_norm2", "paper_id", "norm2", "dot", "n_others"]
+    started = found.select("request", "query_norm2", "paper_id", "norm2", first.alias("dot"), F.size("others").alias("n_others"), "others")
+    needed = plan.select(F.explode("others.term").alias("term")).distinct()
+    postings = index.postings.join(needed, "term", "left_semi").select("term", F.inline("rows")).drop("norm2")
+    rest = (
+        started.where("n_others > 0")
+        .select(*key, F.explode("others").alias("other"))
+        .select(*key, "other.term", "other.query_tf", "other.w2")
+        .join(postings, ["term", "paper_id"])
+        .groupBy(*key)
+        .agg(F.count(F.lit(1)).alias("shared"), F.sum(F.col("tf") * F.col("query_tf") * F.col("w2")).alias("more"))
+        .where("shared = n_others")
     )
-    dated = papers.select("paper_id", "published", "updated", "categories")
+    alone = started.where("n_others = 0").select(*key, F.lit(0.0).alias("more"))
     category = F.col("request.category")
+    relevance = (F.col("dot") + F.col("more")) / (F.sqrt("norm2") * F.sqrt("query_norm2"))
     return (
-        hits.join(norms, "paper_id")
-        .join(dated, "paper_id")
-        .where((category == "") | F.array_contains(F.col("categories"), category))
-        .withColumn(
-            "relevance",
-            F.round(F.col("dot") / (F.sqrt("norm2") * F.sqrt("query_norm2")), RELEVANCE_DECIMALS),
-        )
-        .select("request.*", "paper_id", "published", "updated", "relevance")
+        alone.unionByName(rest.select(*key, "more"))
+        .join(index.documents, "paper_id")
+        .where((category == "") | F.array_contains("categories", category))
+        .select("request.*", "paper_id", "published", "updated", F.round(relevance, RELEVANCE_DECIMALS).alias("relevance"))
     )
 
 
+def matching_papers(
+    requests: DataFrame, bags: DataFrame, papers: DataFrame, index: SearchIndex | None = None, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """All papers a text query matches: request columns, paper_id, relevance, dates.
+
+    ``index`` spares each batch the counts over the whole corpus; without one it is made here.
+    """
+    index = index or search_index(bags, papers, hot_rows)
+    plan = durable(planned(requests, index), "search-plan")
+    return _verified(candidates(plan, index, F.lit(True), hot_rows), plan, index)
+
+
+def _best_papers(requests: DataFrame, index: SearchIndex, hot_rows: int) -> DataFrame:
+    """Matches of text queries, without those that the block bounds keep off a request's results.
+
+    Requests that ask for the most relevant papers open the first block of their rarest term. The last result that it
+    gives them is the mark: a further block is opened only if its largest weight can reach the mark.
+    """
+    plan = durable(planned(requests, index), "search-plan")
+    ranks_first = (F.col("request.sort_by") == SORT_BY[0]) & (F.col("request.sort_order") == SORT_ORDER[0])
+    first = durable(_verified(candidates(plan, index, ~ranks_first | (F.col("block") == 0), hot_rows), plan, index), "search-first")
+    long = plan.where(ranks_first & (F.col("driver.df") > BLOCK))
+    if long.isEmpty():
+        return first
+    best = Window.partitionBy("request_id").orderBy(*_order_columns())
+    marks = (
+        first.withColumn("_n", F.row_number().over(best))
+        .where((F.col("_n") <= SEARCH_MAX_RESULTS) & (F.col("_n") == F.col("max_results")))
+        .select("request_id", F.col("relevance").alias("mark"), F.col("paper_id").alias("mark_id"))
+    )
+    marked = long.withColumn("request_id", F.col("request.request_id")).join(marks, "request_id", "left").drop("request_id")
+    more = candidates(marked, index, (F.col("block") > 0) & ~_beaten(), hot_rows)
+    return first.unionByName(_verified(more, marked, index))
+
+
+def _beaten() -> Column:
+    """No paper of the block can come before the mark: a smaller relevance, or an equal one and larger ids."""
+    share = lambda t: t["query_tf"] * F.sqrt(t["w2"])
+    rest = F.aggregate("others", F.lit(0.0), lambda s, t: s + share(t) * t["top"])
+    most = (share(F.col("driver")) * F.col("top") + rest) / F.sqrt("query_norm2")
+    bound = F.round(most + 1e-12, RELEVANCE_DECIMALS)
+    return F.coalesce((bound < F.col("mark")) | ((bound == F.col("mark")) & (F.col("least") > F.col("mark_id"))), F.lit(False))
+
+
 def _ranked(matches: DataFrame) -> DataFrame:
     best = Window.partitionBy("request_id").orderBy(*_order_columns())
     # the fixed bound lets Spark keep the best rows of each partition before shuffling
@@ -149,26 +223,24 @@ def _ranked(matches: DataFrame) -> DataFrame:
     )
 
 
-def _without_terms(requests: DataFrame, papers: DataFrame) -> DataFrame:
-    """Requests without query terms: the head of the corpus, or of one category, in their order.
+def _heads(papers: DataFrame) -> DataFrame:
+    """The first papers of every category, and of the corpus (''), in each of the six orders.
 
-    The heads of every category in each of the six orders come first. Every partition keeps its best
-    rows per head, so no category, and not the corpus as a whole, is shuffled.
+    Every partition keeps its best rows per head, so no category, and not the corpus as a whole, is shuffled.
     """
-    asked = _normalised(requests).where(F.size("terms") == 0).drop("terms")
     modes = [F.struct(F.lit(by).alias("sort_by"), F.lit(order).alias("sort_order")) for by in SORT_BY for order in SORT_ORDER]
-    # '' stands for the whole corpus
     scoped = papers.select(
         "paper_id", "published", "updated", F.lit(0.0).alias("relevance"),
         F.explode(F.array_union(F.array(F.lit("")), F.col("categories"))).alias("category"),
     ).select("*", F.inline(F.array(*modes)))
     head = Window.partitionBy("category", "sort_by", "sort_order").orderBy(*_order_columns())
-    heads = (
-        scoped.withColumn("_position", F.row_number().over(head))
-        .where(F.col("_position") <= SEARCH_MAX_RESULTS)
-        .drop("_position")
-    )
-    return asked.join(heads, ["category", "sort_by", "sort_order"]).select(
+    return scoped.withColumn("_position", F.row_number().over(head)).where(F.col("_position") <= SEARCH_MAX_RESULTS).drop("_position")
+
+
+def _without_terms(requests: DataFrame, index: SearchIndex) -> DataFrame:
+    """Requests without query terms: the head of the corpus, or of one category, in their order."""
+    asked = _normalised(requests).where(F.size("terms") == 0).drop("terms")
+    return asked.join(index.heads, ["category", "sort_by", "sort_order"]).select(
         "request_id", "query", "category", "sort_by", "sort_order", "max_results",
         "paper_id", "published", "updated", "relevance",
     )
@@ -178,8 +250,8 @@ def search(
     requests: DataFrame, papers: DataFrame, bags: DataFrame, index: SearchIndex | None = None, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Ranked results per request: request columns, paper_id, relevance, rank."""
-    matches = matching_papers(requests, bags, papers, index, hot_rows)
-    return _ranked(matches.unionByName(_without_terms(requests, papers)))
+    index = index or search_index(bags, papers, hot_rows)
+    return _ranked(_best_papers(requests, index, hot_rows).unionByName(_without_terms(requests, index)))
 
 
 def top_hits(requests: DataFrame, papers: DataFrame, bags: DataFrame, index: SearchIndex | None = None) -> DataFrame:

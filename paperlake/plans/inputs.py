@@ -154,12 +154,23 @@ class Inputs:
 
     @cached_property
     def search_index(self) -> SearchIndex:
-        """Stored term weights and norms of the corpus."""
-        built = search_index(self.bags, self.papers_raw.count())
+        """Stored inverted index of the corpus, with the heads of its categories."""
+        built: list[SearchIndex] = []
+
+        def part(name: str) -> Callable[[], DataFrame]:
+            def build() -> DataFrame:
+                if not built:
+                    built.append(search_index(self.bags, self.papers))
+                return getattr(built[0], name)
+
+            return build
+
         return SearchIndex(
-            self._stored("search_terms", lambda: built.frequencies),
-            self._stored("search_documents", lambda: built.documents),
-            built.size,
+            self._stored("search_frequencies", part("frequencies"), "term"),
+            self._stored("search_postings", part("postings"), "term"),
+            self._stored("search_documents", part("documents")),
+            self._stored("search_heads", part("heads")),
+            self.papers_raw.count(),
         )
 
     # --- libraries ------------------------------------------------------------
@@ -358,19 +369,20 @@ class Inputs:
 
     @cached_property
     def search_requests(self) -> DataFrame:
-        """One request per source: words of its first paper, in turn with every sort option."""
-        first = self.documents.groupBy("source").agg(F.min("doc_id").alias("doc_id"))
-        number = F.substring("source", 4, 9).cast("int")
-        words = F.regexp_extract("text", r"^\S+(?: \S+)?", 0)
-        kind = number % 5
-        return first.join(self.documents.select("doc_id", "text", "lang"), "doc_id").select(
-            F.col("source").alias("request_id"),
-            F.when(number % 4 == 3, "").otherwise(words).alias("query"),
-            F.when(number % 8 == 7, None).when(number % 2 == 1, F.col("lang")).alias("category"),
-            F.when(kind == 1, "submittedDate").when(kind == 2, "lastUpdatedDate").when(kind == 4, "popularity")
-            .otherwise("relevance").alias("sort_by"),
-            F.when(number % 3 == 0, "ascending").otherwise("descending").alias("sort_order"),
-            F.when(number % 6 == 0, 50).when(number % 6 == 1, 10).alias("max_results"),
+        """Three requests of every document whose id is divisible by 100: its first word and a long one, the
+        long one alone, and no words, in turn with categories and every sort option."""
+        first, long = F.regexp_extract("text", r"^\S+", 0), F.regexp_extract("text", "[A-Za-z]{9,}", 0)
+        asked = self.documents.where("doc_id % 100 = 0").select("doc_id", "lang", F.concat(first, F.lit(" "), long).alias("two"), long.alias("one"))
+        asked = asked.withColumn("form", F.explode(F.array(*[F.lit(v) for v in range(3)])))
+        number, form = F.expr("doc_id div 100"), F.col("form")
+        kind = (number + form) % 5
+        return asked.select(
+            F.concat(_s("doc_id"), F.lit("-"), _s("form")).alias("request_id"),
+            F.when(form == 0, F.col("two")).when(form == 1, F.col("one")).otherwise("").alias("query"),
+            F.when((form != 1) & ((number + form) % 2 == 1), F.col("lang")).alias("category"),
+            F.when(kind == 1, "submittedDate").when(kind == 2, "lastUpdatedDate").when(kind == 4, "popularity").otherwise("relevance").alias("sort_by"),
+            F.when((number + form) % 3 == 2, "ascending").otherwise("descending").alias("sort_order"),
+            F.when((number + form) % 6 == 0, 50).when((number + form) % 6 == 1, 10).alias("max_results"),
         )
 
     # --- command log --------------------------------------------------------------

@@ -296,15 +296,14 @@ _CTES: dict[str, str] = {
             and nb.paper_id = b.paper_id
         where a.paper_id = a.target_id group by 1, 2, 3, 4""",
     "search_requests": r"""
-        select source as request_id,
-            case when k % 4 = 3 then '' else regexp_extract(text, '^\S+(?: \S+)?', 0) end as query,
-            case when k % 8 = 7 then '' when k % 2 = 1 then lang else '' end as category,
-            case k % 5 when 1 then 'submittedDate' when 2 then 'lastUpdatedDate' else 'relevance' end as sort_by,
-            case when k % 3 = 0 then 'ascending' else 'descending' end as sort_order,
-            least(case k % 6 when 0 then 50 when 1 then 10 else 5 end, 25) as max_results
-        from (select source, cast(substr(source, 4) as integer) as k, min(doc_id) as doc_id
-              from documents group by source) f
-        join (select doc_id, text, lang from documents) d using (doc_id)""",
+        select concat(doc_id, '-', form) as request_id,
+            case form when 0 then concat(regexp_extract(text, '^\S+', 0), ' ', regexp_extract(text, '[A-Za-z]{9,}', 0))
+                 when 1 then regexp_extract(text, '[A-Za-z]{9,}', 0) else '' end as query,
+            case when form <> 1 and (k + form) % 2 = 1 then lang else '' end as category,
+            case (k + form) % 5 when 1 then 'submittedDate' when 2 then 'lastUpdatedDate' else 'relevance' end as sort_by,
+            case when (k + form) % 3 = 2 then 'ascending' else 'descending' end as sort_order,
+            least(case (k + form) % 6 when 0 then 50 when 1 then 10 else 5 end, 25) as max_results
+        from (select *, doc_id // 100 as k, unnest([0, 1, 2]) as form from documents where doc_id % 100 = 0)""",
     "query_terms": f"""
         select request_id, term, count(*) as query_tf
         from (select request_id, unnest({_tokens('query')}) as term from search_requests) group by all""",
