@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -16,6 +18,13 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 ALNUM = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in LOWER)
 
 
+def release() -> None:
+    """Hand memory that is free again back to the system: a Python worker lives on from task to task, with what it once took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of every value of a string column; null is empty."""
     return [b"" if value is None else value for value in column.cast(pa.binary()).to_pylist()]
@@ -33,6 +42,7 @@ def per_batch(function: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable:
         for batch in batches:
             if batch.num_rows:
                 yield function(batch)
+        release()
 
     return run
 
@@ -110,6 +120,8 @@ def map_texts(
                     held, size = [], 0
         if held:
             yield from flush()
+            held.clear()
+        release()
 
     row_type = schema.schema["row"].dataType.simpleString()
     return schema.mapInArrow(run, f"row {row_type}, found struct<{fields.replace(' ', ':').replace(',:', ',')}>")

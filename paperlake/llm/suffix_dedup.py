@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperlake.llm.frames import partitions_for, ragged
+from paperlake.llm.frames import partitions_for, ragged, release
 from paperlake.llm.hashes import StretchHashes
 from paperlake.llm.suffixes import previous_common, suffix_array, words8
 
@@ -213,10 +213,12 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame
     side_type = "shard long, range int, data binary, twice binary"
 
     def keys(table: pa.Table) -> pa.Table:
+        release()  # of the group before
         values, *_ = Shard(table).phrases()
         return runs(table["shard"][0].as_py(), values, np.zeros(len(values), bool), ranges)
 
     def strings(table: pa.Table, side: pa.Table) -> pa.Table:
+        release()
         own = Shard(table) if table.num_rows else None
         starts = _candidates(own, side, ranges) if own else np.empty(0, np.int64)
         if not len(starts):
@@ -225,6 +227,7 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame
         return runs(table["shard"][0].as_py(), own.hash(heads, LENGTH), twice, ranges)
 
     def cut(table: pa.Table, side: pa.Table) -> pa.Table:
+        release()
         if not table.num_rows:
             return pa.table({"row": table["row"], "n_bytes": pa.array([], pa.int64()), "spans": pa.array([], span_list), "kept": pa.array([], pa.binary())})
         own = Shard(table)
