@@ -22,6 +22,7 @@ from paperlake.operators.library import (
     page_numbers,
     suggest,
 )
+from paperlake.operators.lookup import GramIndex, gram_index
 from paperlake.operators.skew import HOT_ROWS, rank_in_group
 
 
@@ -83,8 +84,12 @@ def names(collections: DataFrame) -> DataFrame:
     return collections.select(*COLLECTION_KEY).orderBy(*COLLECTION_KEY)
 
 
-def suggest_names(requests: DataFrame, collections: DataFrame) -> DataFrame:
-    return suggest(requests, collections.select(*COLLECTION_KEY), "name", [F.col("name").asc()])
+def name_index(collections: DataFrame) -> GramIndex:
+    return gram_index(collections.select(*COLLECTION_KEY), "name", [F.col("name").asc()])
+
+
+def suggest_names(requests: DataFrame, collections: DataFrame, index: GramIndex | None = None) -> DataFrame:
+    return suggest(requests, collections.select(*COLLECTION_KEY), "name", [F.col("name").asc()], index=index)
 
 
 def pages(

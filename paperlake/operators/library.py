@@ -21,10 +21,9 @@ from paperlake.constants import (
 from paperlake.functions.display import row_fields
 from paperlake.functions.lists import as_list
 from paperlake.functions.text import date_part, strip, truncate
+from paperlake.operators.lookup import GramIndex, find, gram_index
 from paperlake.operators.skew import HOT_ROWS, rank_in_group
 
-#: Parts of a tenant's items in a look-up.
-PARTS = 16
 CORPUS_COLUMNS = [
     "paper_id", "title", "authors", "summary", "published", "categories", "arxiv_url", "pdf_url", "doi",
 ]
@@ -101,26 +100,21 @@ def notes(requests: DataFrame, saved: DataFrame) -> DataFrame:
 
 
 def suggest(
-    requests: DataFrame, items: DataFrame, column: str, order: list[Column], limit: int = SUGGESTIONS
+    requests: DataFrame, items: DataFrame, column: str, order: list[Column], limit: int = SUGGESTIONS, index: GramIndex | None = None
 ) -> DataFrame:
     """First ``limit`` items that contain the needle, ignoring case; an empty needle keeps all.
 
-    ``requests``: user_id, guild_id, needle. Items are dealt to ``PARTS`` parts of their tenant, every
-    part keeps its first ``limit`` per needle, and only these meet: no task sees all of a tenant's pairs.
+    ``requests``: user_id, guild_id, needle. ``index`` (``gram_index`` of the items) spares each batch the look at all items.
     """
-    part = F.pmod(F.xxhash64(column), F.lit(PARTS)).cast("int")
-    asked = requests.select(*TENANT, "needle").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    hits = asked.join(items.withColumn("part", part), [*TENANT, "part"]).where(
-        F.contains(F.lower(F.col(column)), F.lower(F.col("needle")))
-    )
-    for keys in ([*TENANT, "needle", "part"], [*TENANT, "needle"]):
-        place = Window.partitionBy(*keys).orderBy(*order)
-        hits = hits.withColumn("position", F.row_number().over(place)).where(F.col("position") <= limit)
-    return hits.select(*TENANT, "needle", column, "position")
+    return find(requests, index or gram_index(items, column, order, limit), column, limit)
+
+
+def paper_id_index(saved: DataFrame) -> GramIndex:
+    return gram_index(saved.select(*PAPER_KEY, "saved_at"), "paper_id", newest_first())
 
 
-def suggest_paper_ids(requests: DataFrame, saved: DataFrame) -> DataFrame:
-    return suggest(requests, saved.select(*PAPER_KEY, "saved_at"), "paper_id", newest_first())
+def suggest_paper_ids(requests: DataFrame, saved: DataFrame, index: GramIndex | None = None) -> DataFrame:
+    return suggest(requests, saved.select(*PAPER_KEY, "saved_at"), "paper_id", newest_first(), index=index)
 
 
 def paper_ids(saved: DataFrame) -> DataFrame:

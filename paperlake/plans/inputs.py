@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from paperlake.constants import COLLECTION_KEY, PAPER_KEY, TENANT
-from paperlake.operators.library import normalise_papers
+from paperlake.operators.collections import name_index
+from paperlake.operators.library import normalise_papers, paper_id_index
+from paperlake.operators.lookup import GramIndex
 from paperlake.operators.mutations import add_to_collection, first_rows, new_memberships
 from paperlake.operators.search import SearchIndex, search_index
 from paperlake.operators.similarity import term_bags
@@ -87,6 +89,8 @@ class Inputs:
         for table in (self.papers_raw, self.bags, self.saved, self.collections, self.memberships):
             assert table.columns
         assert self.search_index.size >= 0
+        for index in (self.paper_id_index, self.name_index):
+            assert index.heads.columns
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -385,6 +389,34 @@ class Inputs:
             F.when((number + form) % 6 == 0, 50).when((number + form) % 6 == 1, 10).alias("max_results"),
         )
 
+    @cached_property
+    def paper_id_needles(self) -> DataFrame:
+        """Needles of every tenant: one digit, none, the end of an id, an id in part and one that no paper has."""
+        last = F.right("user_id", F.lit(1))
+        needles = F.array(last, F.lit(""), F.concat(F.lit("0"), last), F.concat(F.lit(".00"), last), F.concat(F.lit("240"), last, F.lit(".0")), F.lit("2401.X"))
+        return self.save_attempts.select(*TENANT, F.explode(needles).alias("needle"))
+
+    @cached_property
+    def name_needles(self) -> DataFrame:
+        needles = F.when(F.col("guild_id") == "g0", F.array(F.lit("I"), F.lit("rea"))).otherwise(F.array(F.lit(""), F.lit("URGENT"), F.lit("collect")))
+        return self.save_attempts.select(*TENANT, F.explode(needles).alias("needle"))
+
+    @cached_property
+    def paper_id_index(self) -> GramIndex:
+        return self._grams("paper_id", lambda: paper_id_index(self.saved))
+
+    @cached_property
+    def name_index(self) -> GramIndex:
+        return self._grams("name", lambda: name_index(self.collections))
+
+    def _grams(self, name: str, build: Callable[[], GramIndex]) -> GramIndex:
+        built: list[GramIndex] = []
+
+        def part(k: int) -> Callable[[], DataFrame]:
+            return lambda: (built or built.append(build()) or built)[0][k]
+
+        return GramIndex(*[self._stored(f"{name}_{field}", part(k), *TENANT, "gram") for k, field in enumerate(GramIndex._fields)])
+
     # --- command log --------------------------------------------------------------
 
     @cached_property

@@ -511,13 +511,14 @@ def oracle_sql() -> dict[str, str]:
     q["suggest_paper_ids"] = _sql(f"""
         select * from (select {_TENANT}, needle, paper_id, row_number() over (
             partition by {_TENANT}, needle order by saved_at desc, paper_id) as position
-            from (select distinct {_TENANT}, right(user_id, 1) as needle from attempts) r
+            from (select distinct {_TENANT}, unnest([right(user_id, 1), '', concat('0', right(user_id, 1)), concat('.00', right(user_id, 1)),
+                  concat('240', right(user_id, 1), '.0'), '2401.X']) as needle from attempts) r
             join saved using ({_TENANT}) where contains(lower(paper_id), lower(needle)))
         where position <= 25""")
     q["suggest_collections"] = _sql(f"""
         select * from (select {_TENANT}, needle, name, row_number() over (
             partition by {_TENANT}, needle order by name) as position
-            from (select distinct {_TENANT}, case guild_id when 'g0' then 'I' else '' end as needle from attempts) r
+            from (select distinct {_TENANT}, unnest(case guild_id when 'g0' then ['I', 'rea'] else ['', 'URGENT', 'collect'] end) as needle from attempts) r
             join collections using ({_TENANT}) where contains(lower(name), lower(needle)))
         where position <= 25""")
 

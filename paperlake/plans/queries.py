@@ -160,14 +160,12 @@ def note_state(i: Inputs) -> DataFrame:
 
 @_query
 def suggest_paper_ids(i: Inputs) -> DataFrame:
-    asked = i.save_attempts.select(*TENANT, F.right("user_id", F.lit(1)).alias("needle"))
-    return _flat(library.suggest_paper_ids(asked, i.saved))
+    return _flat(library.suggest_paper_ids(i.paper_id_needles, i.saved, i.paper_id_index))
 
 
 @_query
 def suggest_collections(i: Inputs) -> DataFrame:
-    needle = F.when(F.col("guild_id") == "g0", "I").otherwise("")
-    return _flat(collections.suggest_names(i.save_attempts.select(*TENANT, needle.alias("needle")), i.collections))
+    return _flat(collections.suggest_names(i.name_needles, i.collections, i.name_index))
 
 
 # --- collections -------------------------------------------------------------------
