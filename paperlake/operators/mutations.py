@@ -5,7 +5,7 @@ gives an outcome per request and, where the tables change, the new snapshot.
 
 First-wins decisions reduce the requests to one winner per key before any join, and
 outcomes are joined back on key *and* seq, so a key with very many requests is never
-gathered in one place. Look-ups that need the key alone go through ``salted_lookup``.
+gathered in one place. Look-ups that need the key alone are left to adaptive splitting, or go through ``salted_lookup``.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from paperlake.constants import (
     STATUSES,
 )
 from paperlake.functions.text import strip
-from paperlake.operators.skew import HOT_ROWS, salted_lookup
+from paperlake.operators.skew import salted_lookup
 
 
 def first_requests(requests: DataFrame, keys: list[str]) -> DataFrame:
@@ -42,12 +42,28 @@ def first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return first.select(*keys, "_row.*").select(*df.columns)
 
 
-def _known_key(requests: DataFrame, keys: list[str], table: DataFrame, hot_rows: int) -> DataFrame:
-    """Add ``known``: does the request's key occur in ``table``?"""
-    owners = requests.groupBy(*keys).agg(F.count(F.lit(1)).alias("requests"))
-    touched = owners.join(table.select(*keys, F.lit(True).alias("known")), keys, "left")
-    found = salted_lookup(requests, touched, keys, "requests", ["seq"], "left", hot_rows=hot_rows, owners=owners)
-    return found.withColumn("known", F.coalesce(F.col("known"), F.lit(False))).drop("requests")
+def _looked_up(
+    requests: DataFrame, found: DataFrame, keys: list[str], hot_rows: int | None, how: str = "inner", owners: DataFrame | None = None
+) -> DataFrame:
+    """Requests with their key's row of ``found``, which has one row per key at most (and its number of ``requests``).
+
+    A key with very many requests is split by adaptive execution while the join runs. ``hot_rows`` deals such keys out beforehand
+    instead, for sessions without it; that costs one more aggregate over the requests.
+    """
+    if hot_rows is None:
+        return requests.join(found, keys, how)
+    return salted_lookup(requests, found, keys, "requests", ["seq"], how, hot_rows=hot_rows, owners=owners)
+
+
+def _known_key(requests: DataFrame, keys: list[str], table: DataFrame, hot_rows: int | None) -> DataFrame:
+    """Add ``known``: does the request's key occur in ``table``, which holds it once at most?"""
+    held = table.select(*keys, F.lit(True).alias("known"))
+    if hot_rows is not None:
+        owners = requests.groupBy(*keys).agg(F.count(F.lit(1)).alias("requests"))
+        found = _looked_up(requests, owners.join(held, keys, "left"), keys, hot_rows, "left", owners).drop("requests")
+    else:
+        found = _looked_up(requests, held, keys, None, "left")
+    return found.withColumn("known", F.coalesce(F.col("known"), F.lit(False)))
 
 
 # --- save --------------------------------------------------------------------
@@ -120,7 +136,7 @@ def add_to_collection(
     collections: DataFrame,
     saved: DataFrame,
     memberships: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Outcome per request: not_found before not_saved before duplicate before added.
 
@@ -150,7 +166,7 @@ def add_to_collection(
         .when(F.col("_member"), "duplicate")
         .alias("_fixed"),
     )
-    return salted_lookup(asked, resolved, key, "requests", ["seq"], hot_rows=hot_rows, owners=owners).select(
+    return _looked_up(asked, resolved, key, hot_rows, owners=owners).select(
         "seq",
         "requested_at",
         *key,
@@ -168,7 +184,7 @@ def new_memberships(outcomes: DataFrame) -> DataFrame:
 
 
 def remove_from_collection(
-    requests: DataFrame, collections: DataFrame, memberships: DataFrame, hot_rows: int = HOT_ROWS
+    requests: DataFrame, collections: DataFrame, memberships: DataFrame, hot_rows: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Outcomes not_found / not_in_collection / removed and the remaining memberships.
 
@@ -183,7 +199,7 @@ def remove_from_collection(
         .join(memberships.select(*MEMBERSHIP_KEY, F.lit(True).alias("_member")), MEMBERSHIP_KEY, "left")
     )
     removed = F.col("_member") & (F.col("seq") == F.col("first_seq"))
-    outcomes = salted_lookup(asked, resolved, key, "requests", ["seq"], hot_rows=hot_rows, owners=owners).select(
+    outcomes = _looked_up(asked, resolved, key, hot_rows, owners=owners).select(
         "seq",
         *key,
         F.when(F.col("collection_id").isNull(), "not_found")
@@ -228,7 +244,7 @@ def _latest(valid: DataFrame, value: Column, name: str) -> DataFrame:
 
 
 def set_status(
-    requests: DataFrame, saved: DataFrame, hot_rows: int = HOT_ROWS
+    requests: DataFrame, saved: DataFrame, hot_rows: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Outcomes invalid (checked first) / not_found / updated and the new snapshot."""
     asked = requests.withColumn("paper_id", strip(F.col("paper_id")))
@@ -249,7 +265,7 @@ def set_status(
 
 
 def set_note(
-    requests: DataFrame, saved: DataFrame, hot_rows: int = HOT_ROWS
+    requests: DataFrame, saved: DataFrame, hot_rows: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Outcomes invalid (length before stripping) / not_found / updated and the new snapshot."""
     asked = requests.withColumn("paper_id", strip(F.col("paper_id")))

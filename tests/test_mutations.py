@@ -64,7 +64,7 @@ def test_create_collections(spark, state):
     assert {(r.id, r.name) for r in new.where("id > 100").collect()} == {(104, "Refs"), (106, "refs")}
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 1])
+@pytest.mark.parametrize("hot_rows", [None, 1_000_000, 1])
 def test_add_to_collection(spark, state, hot_rows):
     saved, named, members = state
     reqs = asked(
@@ -79,7 +79,7 @@ def test_add_to_collection(spark, state, hot_rows):
     assert [(r.collection_id, r.paper_id, r.added_at) for r in new] == [(1, "p2", when(2))]
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 1])
+@pytest.mark.parametrize("hot_rows", [None, 1_000_000, 1])
 def test_remove_from_collection(spark, state, hot_rows):
     _, named, members = state
     reqs = asked(
@@ -91,7 +91,7 @@ def test_remove_from_collection(spark, state, hot_rows):
     assert {(r.collection_id, r.paper_id) for r in left.collect()} == {(2, "p1"), (1, "p9")}
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 1])
+@pytest.mark.parametrize("hot_rows", [None, 1_000_000, 1])
 def test_set_status(spark, state, hot_rows):
     reqs = asked(
         spark, [(1, 3, "u", " p1", "done"), (2, 4, "u", "p1", "invalid-status"), (3, 2, "u", "p1", "reading"),
@@ -149,6 +149,6 @@ def test_random_adds_follow_the_model(spark, state):
             expected[i] = "duplicate" if (u, name, p) in members else "added"
             members.add((u, name, p))
     reqs = asked(spark, data, "name string, paper_id string")
-    for hot_rows in (1_000_000, 20):
+    for hot_rows in (None, 1_000_000, 20):
         out = mutations.add_to_collection(reqs, named, saved, hot_rows=hot_rows)
         assert {r.seq: r.outcome for r in out.collect()} == expected
