@@ -18,6 +18,13 @@ from paperlake.operators.skew import HOT_ROWS, ordered_chunks
 STATE_COLUMNS = [*PAPER_KEY, "status", "note", "saved_at"]
 
 
+def bad_arguments() -> Column:
+    """A status that does not exist, or a note of a length that is not allowed."""
+    status = ~F.coalesce(F.col("status_arg").isin(*STATUSES), F.lit(False))
+    note = ~F.coalesce(F.length("note_arg").between(NOTE_MIN_LENGTH, NOTE_MAX_LENGTH), F.lit(False))
+    return F.coalesce(F.when(F.col("command") == "set_status", status).when(F.col("command") == "set_note", note), F.lit(False))
+
+
 def replay_outcomes(
     commands: DataFrame, snapshot: DataFrame | None = None, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
@@ -48,16 +55,10 @@ def replay_outcomes(
         rows = rows.join(held, PAPER_KEY, "left")
         carried.append(F.col("_held"))
     present = F.coalesce(*carried, F.lit(0)) == 1
-    bad_status = (F.col("command") == "set_status") & ~F.coalesce(
-        F.col("status_arg").isin(*STATUSES), F.lit(False)
-    )
-    bad_note = (F.col("command") == "set_note") & ~F.coalesce(
-        F.length("note_arg").between(NOTE_MIN_LENGTH, NOTE_MAX_LENGTH), F.lit(False)
-    )
     outcome = (
         F.when((F.col("command") == "save") & present, "duplicate")
         .when(F.col("command") == "save", "saved")
-        .when(bad_status | bad_note, "invalid")
+        .when(bad_arguments(), "invalid")
         .when(~present, "not_found")
         .when(F.col("command") == "remove", "removed")
         .otherwise("updated")

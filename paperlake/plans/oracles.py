@@ -840,6 +840,7 @@ def oracle_sql() -> dict[str, str]:
     q["replay_outcomes"] = _sql(f"select {_TENANT}, paper_id, seq, command, outcome from outcomes")
     q["replay_library"] = _sql("select * from replayed")
     q["replay_stream"] = q["replay_library"]
+    q["replay_stateful"] = q["replay_library"]
 
     # data quality and layouts
     q["dup_keys"] = _sql(

@@ -29,6 +29,7 @@ from paperlake.runtime import run_folder
 from paperlake.sources import atom, schemas
 from paperlake.streaming import atom as atom_stream
 from paperlake.streaming import replay as replay_stream
+from paperlake.streaming import stateful
 
 QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {}
 
@@ -668,6 +669,15 @@ def replay_stream_library(i: Inputs) -> DataFrame:
     return _flat(replay_stream.current_library(i.spark, path))
 
 
+@_query
+def replay_stateful(i: Inputs) -> DataFrame:
+    """The event table read as a stream, each paper key replayed in the state store."""
+    path = run_folder(i.spark, "replay-stateful")
+    source = i.spark.readStream.schema(i.table("events").schema).parquet(f"{i.folder}/event[s].parquet")
+    stateful.start_replay(source, to_commands, path).awaitTermination()
+    return _flat(stateful.current_library(i.spark, path))
+
+
 @_query
 def atom_stream_corpus(i: Inputs) -> DataFrame:
     """Papers landed as feed files, then ingested by the streaming job."""
