@@ -24,7 +24,7 @@ with parts as (
 )
 select page_id, host, path, rule,
        case when rule in ('example.net/en/', 'org/fr/') then 'allow' when rule is not null then 'block'
-            when canonical in (select canonical from known where starts_with(host, 'spam-') and canonical is not null) then 'block'
+            when canonical in (select canonical from known where (page_id % 10 = 0 or starts_with(host, 'spam-')) and canonical is not null) then 'block'
             else 'allow' end as verdict
 from known
 """

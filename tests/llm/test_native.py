@@ -32,7 +32,7 @@ def test_urls_of_all_kinds(spark):
         (11, "ftp://spam-q.org/a?a=1&ref=z&b=2"), (12, "http://notexample.net/en/"), (13, "http://sub.example.net/en/"), (14, "http://example.com/de"), (15, "://"),
     ]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit(1)).withColumn("block", F.lit(2))
-    listed = pages.where(url_filter.host_of(F.col("url")).startswith("spam-")).select("url")
+    listed = queries.listed_urls(pages)
     got = url_filter.judge(pages, listed).select("row.page_id", "host", "path", "rule", "verdict").collect()
     con = duckdb.connect()
     con.execute("create table pages(page_id bigint, url varchar)")
@@ -40,22 +40,34 @@ def test_urls_of_all_kinds(spark):
     want = con.sql(oracles.URL_FILTER).project("page_id, host, path, rule, verdict").fetchall()
     assert ordered(got) == ordered(want)
     assert {r["page_id"]: r["verdict"] for r in got}[8] == "block"
+    plain = pages.drop("block")  # a filter beyond the broadcast bound says the same
+    bound, url_filter.BROADCAST_BLOCKS = url_filter.BROADCAST_BLOCKS, 0
+    try:
+        assert ordered(url_filter.judge(plain, listed).select("row.page_id", "host", "path", "rule", "verdict").collect()) == ordered(want)
+    finally:
+        url_filter.BROADCAST_BLOCKS = bound
     assert url_filter.judge(pages, listed.limit(0)).where("rule is null and verdict = 'block'").count() == 0
     assert url_filter.judge(pages.limit(0), listed).count() == 0
 
 
-def test_filter_has_no_false_negative_and_a_bounded_size(spark):
-    listed = spark.range(30_000).select(F.concat(F.lit("h/"), "id").alias("canonical"))
-    table = url_filter.bloom(listed)
-    assert table.count() <= url_filter.BLOCKS
-    block, bits = url_filter._bits("canonical")
+@pytest.mark.parametrize("n", [40, 30_000, 1_000_000])
+def test_filter_follows_the_list_and_lets_few_others_pass(spark, n):
+    blocks = url_filter.blocks_for(n)
+    assert n / 33 < blocks <= n / 32 + 1
+    table = url_filter.bloom(spark.range(n).select(F.concat(F.lit("h/"), "id").alias("canonical")), blocks)
+    block, bits = url_filter._bits("canonical", blocks)
     hit = F.lit(True)
     for k, bit in enumerate(bits):
         hit = hit & (F.col(f"w{k}").bitwiseAND(bit) != 0)
-    probe = spark.range(60_000).select("id", F.concat(F.lit("h/"), "id").alias("canonical")).withColumn("block", block)
+    probe = spark.range(2 * n).select("id", F.concat(F.lit("h/"), "id").alias("canonical")).withColumn("block", block)
     found = probe.join(table, "block", "left").where(hit)
-    assert found.where("id < 30000").count() == 30_000
-    assert found.where("id >= 30000").count() < 1_500
+    listed, others = found.agg(F.count_if(F.col("id") < n), F.count_if(F.col("id") >= n)).first()
+    assert listed == n and others <= 0.01 * n + 2
+
+
+def test_the_list_is_met(spark, folder):
+    got = queries.op9_url_filter(spark, folder)
+    assert got.where("rule is null and verdict = 'block'").count() > 0
 
 
 def test_statements(spark):
