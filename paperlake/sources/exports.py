@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperlake.sources.files import NAME, NamedFiles
+
 
 def _folder_key(column: str) -> Column:
     # a prefix keeps the empty guild a real folder name instead of the NULL partition
@@ -53,3 +55,30 @@ def write_packed(lines: DataFrame, path: str, rows_per_file: int = 1_000_000) ->
     order = [c for c in ("user_id", "guild_id", "file_name", "position") if c in lines.columns]
     rows = lines.repartitionByRange(*order).sortWithinPartitions(*order)
     rows.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
+
+
+def _folder_name(column: str) -> Column:
+    # as in write_collection_files; a file system may not take a colon
+    return F.concat(F.lit("g=" if column == "guild_id" else "u="), F.replace(F.coalesce(F.col(column), F.lit("")), F.lit("/"), F.lit("%2F")))
+
+
+def _write_named(rows: DataFrame, path: str) -> None:
+    rows.sparkSession.dataSource.register(NamedFiles)
+    rows.write.format(NAME).mode("append").option("path", path).save()
+
+
+def write_exact_collection_files(lines: DataFrame, path: str) -> None:
+    """Export lines as one file per collection, ``u=<user>/g=<guild>/<name>.<extension>``.
+
+    Its content is the citations with a blank line between them. Files appear when all are complete.
+    """
+    keys = ["folder", "file_name"]
+    rows = lines.withColumn("folder", F.concat_ws("/", _folder_name("user_id"), _folder_name("guild_id")))
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "collection_id", "position")
+    _write_named(rows.select(*keys, "text"), path)
+
+
+def write_exact_citation_files(payloads: DataFrame, path: str) -> None:
+    """Payloads that go to a file as one file per name; a paper asked for more than once is written once."""
+    files = payloads.where(F.col("delivery") == "file").groupBy("file_name").agg(F.min("citation").alias("text"))
+    _write_named(files.select(F.lit("").alias("folder"), "file_name", "text"), path)
