@@ -604,6 +604,7 @@ def oracle_sql() -> dict[str, str]:
     q["library_pages"] = _sql(
         _pages("saved", 5, "saved_at desc, paper_id", f"{_TENANT}, paper_id, {_iso('saved_at')} as saved_at")
     )
+    q["page_lookup"] = f"select * from ({q['library_pages']}) where page = 2 or page = total_pages"
     q["paper_ids"] = _sql(f"select {_TENANT}, paper_id, {_iso('saved_at')} as saved_at from saved")
     q["library_cards"] = _sql(f"""
         select {_TENANT}, paper_id, status, {_ROW}, strftime(saved_at, '%Y-%m-%d') as saved_date,

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlake.constants import CITATION_FORMATS, PAPER_KEY, TENANT
+from paperlake.constants import CITATION_FORMATS, PAPER_KEY, PAPERS_PER_PAGE, TENANT
 from paperlake.functions import citations as cit
 from paperlake.functions import lists, text
 from paperlake.functions.display import row_fields
@@ -18,6 +18,7 @@ from paperlake.operators import (
     layout,
     library,
     mutations,
+    page_index,
     papers,
     quality,
     replay,
@@ -258,6 +259,16 @@ def library_pages(i: Inputs) -> DataFrame:
     return _flat(library.pages(i.saved))
 
 
+@_query
+def page_lookup(i: Inputs) -> DataFrame:
+    """Second and last page of every library through the page index."""
+    rows = i.saved.select(*PAPER_KEY, "saved_at")
+    index = page_index.page_index(rows, TENANT, library.newest_first())
+    last = F.ceil(F.col("total") / F.lit(PAPERS_PER_PAGE))
+    asked = index.counts.where("chunk = 0").select(*TENANT, F.explode(F.array(F.lit(2).cast("long"), last)).alias("page"))
+    return _flat(page_index.find_pages(asked, index))
+
+
 @_query
 def paper_ids(i: Inputs) -> DataFrame:
     return _flat(library.paper_ids(i.saved))
