@@ -66,6 +66,51 @@ def test_stream_keeps_the_first_of_each_id(spark, tmp_path):
     assert got == {"2401.12345": "Attention Is All You Need", "hep-th/9901001": "Bare"}
 
 
+def dropped(query):
+    return sum(
+        state["customMetrics"].get("numDroppedDuplicateRows", 0)
+        for progress in query.recentProgress
+        for state in progress["stateOperators"]
+    )
+
+
+def test_repeats_are_dropped_before_the_look_up(spark, tmp_path):
+    paths = {delay: str(tmp_path / f"corpus {delay}") for delay in (None, "1 day")}
+    landing = tmp_path / "landing"
+    later = FULL.replace("Attention  Is", "Changed").replace("v2</id>", "v3</id>")
+    # years older in ``updated`` than all that came before: late by that clock, and still kept
+    old = BARE.replace("9901001", "9001007").replace("<title>", "<updated>1990-01-01T00:00:00Z</updated><title>")
+    arrivals = [
+        [FULL, BARE, BARE],
+        [FULL, BARE, later],
+        [old, FULL, later],
+        [],
+    ]
+    repeats = []
+    for number, entries in enumerate(arrivals):  # each run restarts from the checkpoint
+        if entries:
+            feed(landing, f"{number}.xml", *entries)
+        for delay, path in paths.items():
+            query = stream.start_ingest(spark, str(landing), path, repeats_within=delay)
+            query.awaitTermination()
+            if delay:
+                repeats.append(dropped(query))
+    got = {delay: sorted(tuple(r) for r in stream.read_corpus(spark, path).drop("batch").collect()) for delay, path in paths.items()}
+    assert got[None] == got["1 day"]
+    assert [r[0] for r in got[None]] == ["2401.12345", "hep-th/9001007", "hep-th/9901001"]
+    assert repeats == [1, 2, 2, 0]
+
+
+def test_an_entry_past_the_delay_goes_to_the_exact_look_up(spark, tmp_path):
+    landing, path = tmp_path / "landing", str(tmp_path / "corpus")
+    feed(landing, "one.xml", FULL)
+    stream.start_ingest(spark, str(landing), path, repeats_within="0 seconds").awaitTermination()
+    for name in ("two.xml", "three.xml", "four.xml"):
+        feed(landing, name, FULL, BARE)
+        stream.start_ingest(spark, str(landing), path, repeats_within="0 seconds").awaitTermination()
+    assert sorted(r.paper_id for r in stream.read_corpus(spark, path).collect()) == ["2401.12345", "hep-th/9901001"]
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
     data = [
