@@ -486,6 +486,7 @@ def oracle_sql() -> dict[str, str]:
         f"select paper_id, {clean.format('title')} as title, {_TEXT_LISTS}, {clean.format('summary')} as summary, "
         "published, updated, array_to_string(categories, '|') as categories, arxiv_url, pdf_url, doi from papers"
     )
+    q["atom_stream_repeats"] = q["atom_stream"]
     q["lookup_by_id"] = _sql(
         f"select i.paper_id, p.paper_id is not null as found, p.title, p.doi from (select distinct "
         f"{_pid('p_partkey')} as paper_id from part where p_partkey % 10 <> 9) i "

@@ -699,6 +699,17 @@ def atom_stream_corpus(i: Inputs) -> DataFrame:
     return _flat(atom_stream.read_corpus(i.spark, path))
 
 
+@_query
+def atom_stream_repeats(i: Inputs) -> DataFrame:
+    """The same papers landed and ingested a second time; their entries are dropped before the look-up."""
+    landing, path = run_folder(i.spark, "landing"), run_folder(i.spark, "corpus")
+    decoded = {c: lists.decode(F.col(c)) for c in ("authors", "categories")}
+    for arrival in ("first", "second"):
+        atom.write_feeds(i.papers_raw.withColumns(decoded), f"{landing}/{arrival}")
+        atom_stream.start_ingest(i.spark, f"{landing}/*", path, repeats_within="1 day").awaitTermination()
+    return _flat(atom_stream.read_corpus(i.spark, path))
+
+
 RENAMED = {"replay_stream_library": "replay_stream", "atom_stream_corpus": "atom_stream"}
 
 
