@@ -167,6 +167,17 @@ def test_export_routing_and_files(spark, saved, named, members, tmp_path):
     assert "".join(open(p).read() for p in parts) == joined + "\n"
 
 
+def test_export_of_members_without_texts(saved, named, members, rows):
+    cited = collections.citations(collections.papers(members, saved), named, "plain")
+    held = collections.members(members, saved.select("user_id", "guild_id", "paper_id"))
+    slim = collections.named_members(held, named, "plain")
+    texts = collections.paper_citations(saved.dropDuplicates(["paper_id"]), "plain")
+    assert "citation" not in slim.columns
+    for made in (collections.export, collections.export_lines):
+        want = made(cited)
+        assert rows(made(slim, texts=texts), *want.columns) == rows(want)
+
+
 def test_citation_files_and_packed_lines(spark, saved, named, members, tmp_path):
     payloads = spark.createDataFrame(
         [("file", "long text\nof two lines", "p1.bib"), ("inline", "short", "p2.bib")], "delivery string, citation string, file_name string"

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from paperlake.operators import mutations
 from paperlake.sources import schemas
@@ -79,6 +80,20 @@ def test_add_to_collection(spark, state, hot_rows):
     assert [(r.collection_id, r.paper_id, r.added_at) for r in new] == [(1, "p2", when(2))]
 
 
+def test_first_memberships_are_the_added_ones(spark, state, rows):
+    saved, named, _ = state
+    data = [
+        (1, 5, "u", "refs", "p1"), (2, 3, "u", " refs", "p1 "), (3, 4, "u", "none", "p1"), (4, 2, "u", "refs", "p9"),
+        (5, 9, "v", "refs", "p1"), (6, 1, "v", None, "p1"),
+    ]
+    requests = asked(spark, data, "name string, paper_id string")
+    undated = requests.withColumn("requested_at", F.when(F.col("seq") != 5, F.col("requested_at")))
+    for given in (requests, undated.unionByName(requests.withColumn("seq", F.col("seq") + 10))):
+        want = mutations.new_memberships(mutations.add_to_collection(given, named, saved))
+        assert rows(mutations.first_memberships(given, named, saved), *want.columns) == rows(want)
+        assert want.count() == 2
+
+
 @pytest.mark.parametrize("hot_rows", [None, 1_000_000, 1])
 def test_remove_from_collection(spark, state, hot_rows):
     _, named, members = state
