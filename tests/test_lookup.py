@@ -69,3 +69,14 @@ def test_no_items_and_no_requests(spark):
     index = lookup.gram_index(none, "item", [F.col("at")])
     assert lookup.find(spark.createDataFrame([("u", "g", "")], ASKED), index, "item").count() == 0
     assert lookup.find(spark.createDataFrame([], ASKED), index, "item").count() == 0
+
+
+def test_small_tenants_have_no_grams(spark, monkeypatch):
+    items = [(f"u{k % 40}", "g", f"Name {k}", k) for k in range(200)]
+    asked = [(f"u{k}", "g", n) for k in range(41) for n in ("", "NAME", "e 1", "9", "name 39x", None)]
+    index = lookup.gram_index(spark.createDataFrame(items, ITEMS), "item", [F.col("at")])
+    assert index.postings.count() == 0 and index.heads.count() == 0
+    for few in (0, lookup.FEW):
+        monkeypatch.setattr(lookup, "FEW", few)
+        got = lookup.find(spark.createDataFrame(asked, ASKED), index, "item", 3)
+        assert sorted(tuple(r) for r in got.select("user_id", "guild_id", "needle", "item", "position").collect()) == scan(items, asked, 3)
