@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from paperlake.llm.frames import partitions_for, ragged, release
+from paperlake.llm.frames import freed, partitions_for, ragged, release
 
 #: A shard is held in memory, about 10 bytes of it for each byte of text.
 SHARD_BYTES = 10 << 20
@@ -196,7 +196,6 @@ def encode_decode(docs: DataFrame, path: str, shard_bytes: int = SHARD_BYTES) ->
     def encode(table: pa.Table) -> pa.Table:
         if table["key"][0].as_py() < 0:  # documents
             return pa.table({"shard": pa.array([], pa.int64()), **{c: pa.array([], pa.binary()) for c in ("steps", "counts", "ids")}})
-        release()  # of the group before
         lists = [w.split(b"\n") for w in table["b"].to_pylist()]
         if not built:
             built.append(tokenizer_of(shared.value))
@@ -213,7 +212,6 @@ def encode_decode(docs: DataFrame, path: str, shard_bytes: int = SHARD_BYTES) ->
     def assemble(listed: pa.Table, coded: pa.Table) -> pa.Table:
         if not coded.num_rows or coded["key"][0].as_py() >= 0:  # words
             return pa.table({"doc_id": coded["doc_id"].slice(0, 0), "ids": pa.array([], pa.binary()), "decoded": pa.array([], pa.string())})
-        release()  # of the group before
         whole = lambda name: [unpacked(np.frombuffer(x, np.uint8)) for x in listed[name].to_pylist()] or [np.empty(0, np.int64)]
         at = np.concatenate([np.cumsum(x) for x in whole("steps")])
         counts, ids = np.concatenate(whole("counts")), np.concatenate(whole("ids"))
@@ -236,7 +234,7 @@ def encode_decode(docs: DataFrame, path: str, shard_bytes: int = SHARD_BYTES) ->
 
     partitions = partitions_for(docs)
     dealt = _shards(docs, special, shard_bytes, partitions).repartition(partitions, "key")
-    encoded = dealt.groupBy("key").applyInArrow(encode, "shard long, steps binary, counts binary, ids binary")
+    encoded = dealt.groupBy("key").applyInArrow(freed(encode), "shard long, steps binary, counts binary, ids binary")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     # both read the one exchange: its rows are told apart inside the functions, so nothing is pushed below it
-    return encoded.groupBy("shard").cogroup(dealt.groupBy("key")).applyInArrow(assemble, f"doc_id {id_type}, ids binary, decoded string")
+    return encoded.groupBy("shard").cogroup(dealt.groupBy("key")).applyInArrow(freed(assemble), f"doc_id {id_type}, ids binary, decoded string")

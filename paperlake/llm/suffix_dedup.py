@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperlake.llm.frames import partitions_for, ragged, release
+from paperlake.llm.frames import freed, partitions_for, ragged
 from paperlake.llm.hashes import StretchHashes
 from paperlake.llm.suffixes import previous_common, suffix_array, words8
 
@@ -213,12 +213,10 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame
     side_type = "shard long, range int, data binary, twice binary"
 
     def keys(table: pa.Table) -> pa.Table:
-        release()  # of the group before
         values, *_ = Shard(table).phrases()
         return runs(table["shard"][0].as_py(), values, np.zeros(len(values), bool), ranges)
 
     def strings(table: pa.Table, side: pa.Table) -> pa.Table:
-        release()
         own = Shard(table) if table.num_rows else None
         starts = _candidates(own, side, ranges) if own else np.empty(0, np.int64)
         if not len(starts):
@@ -227,7 +225,6 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame
         return runs(table["shard"][0].as_py(), own.hash(heads, LENGTH), twice, ranges)
 
     def cut(table: pa.Table, side: pa.Table) -> pa.Table:
-        release()
         if not table.num_rows:
             return pa.table({"row": table["row"], "n_bytes": pa.array([], pa.int64()), "spans": pa.array([], span_list), "kept": pa.array([], pa.binary())})
         own = Shard(table)
@@ -252,12 +249,12 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame
     span_list = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
     by_shard = dealt.groupBy("shard")
     merged = "shard long, range int, bits binary"
-    told_keys = by_shard.applyInArrow(keys, side_type).groupBy("range").applyInArrow(merge, merged).select("shard", F.lit(0).alias("kind"), "range", "bits")
-    found = by_shard.cogroup(told_keys.groupBy("shard")).applyInArrow(strings, side_type)
-    told_strings = found.groupBy("range").applyInArrow(merge, merged).select("shard", F.lit(1).alias("kind"), "range", "bits")
+    told_keys = by_shard.applyInArrow(freed(keys), side_type).groupBy("range").applyInArrow(freed(merge), merged).select("shard", F.lit(0).alias("kind"), "range", "bits")
+    found = by_shard.cogroup(told_keys.groupBy("shard")).applyInArrow(freed(strings), side_type)
+    told_strings = found.groupBy("range").applyInArrow(freed(merge), merged).select("shard", F.lit(1).alias("kind"), "range", "bits")
     copy_keys = copied.select(shard, F.lit(2).alias("kind"), F.lit(0).alias("range"), F.col("key").alias("bits"))
     side = told_keys.unionByName(told_strings).unionByName(copy_keys)
-    single = by_shard.cogroup(side.groupBy("shard")).applyInArrow(cut, f"row {row_type}, n_bytes long, spans {spans_type}, kept binary")
+    single = by_shard.cogroup(side.groupBy("shard")).applyInArrow(freed(cut), f"row {row_type}, n_bytes long, spans {spans_type}, kept binary")
     return short.unionByName(whole).unionByName(single)
 
 

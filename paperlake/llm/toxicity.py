@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperlake.llm.frames import ALNUM, chunks, crc_rest, map_texts, ragged, texts_of
+from paperlake.llm.frames import ALNUM, chunks, crc_rest, map_texts, ragged, release, texts_of
 from paperlake.llm.labels import labelled_sample, rising
 
 BY, HELD_OUT = 4, 2
@@ -193,6 +193,7 @@ def associated_terms(sample: DataFrame, sizes: dict[int, int], most: int = TERMS
                 if len(found[0]) + len(found[1]) > _MEMO:
                     yield rows()
         yield rows()
+        release()
 
     n0, n1 = (F.lit(float(max(sizes.get(k, 0), 1))) for k in (0, 1))
     a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
@@ -217,6 +218,7 @@ def document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[np.ndarra
         total[-1] = rows
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], ["term", "n"])
+        release()
 
     out = np.zeros(len(terms) + 1, np.int64)
     for r in docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():

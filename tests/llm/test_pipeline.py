@@ -1,6 +1,8 @@
 """The pipeline against its stages in plain Python on what each stage was given."""
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from test_decontaminate import slow as slow_contamination
 from test_simhash import classes, slow_print
 from test_suffix_dedup import slow as slow_repeats
@@ -51,3 +53,19 @@ def test_odd_rows_pass_every_stage(spark, folder, odd):
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
             docs = durable(stage(spark, docs, folder))
             assert docs.columns == columns or k == len(corpus_pipeline.STAGES) - 1
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stage_gives_python_small_batches(spark, folder, name, stage):
+    for key in corpus_pipeline.SETTINGS:
+        spark.conf.unset(key)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    docs = spark.range(0, 800, 1, 1).selectExpr("id as doc_id", "repeat(cast(id as string), 5000) as text", "'en' as lang", "'a' as source", "1L as n_chars")
+    stage(spark, docs.limit(0), folder)
+    found = [r["n"] for r in docs.select("text").mapInArrow(sizes, "n long").collect()]
+    assert sum(found) > 8 << 20
+    assert max(found) < 3 << 20
