@@ -167,3 +167,14 @@ def test_random_adds_follow_the_model(spark, state):
     for hot_rows in (None, 1_000_000, 20):
         out = mutations.add_to_collection(reqs, named, saved, hot_rows=hot_rows)
         assert {r.seq: r.outcome for r in out.collect()} == expected
+
+
+def test_saved_rows_are_picked_before_they_move(spark, state):
+    """One shuffle brings the requests to their papers; rows without a whole key or seq are not saved, the first may come twice."""
+    saved = state[0]
+    row = saved.where("user_id = 'u' and paper_id = 'p1'").drop("user_id", "guild_id", "paper_id", "id", "status", "note", "saved_at")
+    data = [(3, 3, "u", "p3"), (3, 3, "u", "p3"), (1, 4, "u", "p3"), (2, 1, "u", None), (None, 1, "v", "p2"), (4, 2, "v", "p2"), (5, 1, "u", "p1")]
+    reqs = asked(spark, data, "paper_id string").crossJoin(row).withColumn("id", F.col("seq") + 10)
+    new = mutations.save_papers(reqs, saved)[1].where("id > 0")
+    assert [(r.id, r.user_id, r.paper_id, r.saved_at) for r in new.collect()] == [(13, "u", "p3", when(3))] * 2
+    assert "WindowGroupLimit" in new._jdf.queryExecution().optimizedPlan().toString()
