@@ -169,6 +169,18 @@ def test_random_adds_follow_the_model(spark, state):
         assert {r.seq: r.outcome for r in out.collect()} == expected
 
 
+def test_adds_shuffle_the_requests_once(spark, state):
+    """The look-ups get the keys of the shuffle that the outcomes come from."""
+    saved, named, members = state
+    reqs = asked(spark, [(k, k, "u", "refs", "p2") for k in range(9)], "name string, paper_id string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = mutations.add_to_collection(reqs, named, saved, members)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "ReusedExchange" in plan and "HashAggregate" not in plan and "SortAggregate" not in plan
+
+
 def test_saved_rows_are_picked_before_they_move(spark, state):
     """One shuffle brings the requests to their papers; rows without a whole key or seq are not saved, the first may come twice."""
     saved = state[0]
